@@ -27,6 +27,7 @@ import gc
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -59,16 +60,16 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
+        self.kind, self.code = (np.uint16, "H") if self.library.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed integers of self.kind."""
-        split = [SPLIT.findall(t) if PLAIN.fullmatch(t) and not self.special.search(t) else None for t in texts]
+        split = [SPLIT.findall(t) if PLAIN.fullmatch(t) and not any(x in t for x in self.special) else None for t in texts]
         whole = iter(self.ids([t for t, s in zip(texts, split, strict=True) if s is None]))
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
@@ -172,20 +173,21 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int | None = 0, doc_id: st
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = load(tokenizer_path).kind
-        seg, part, keys, starts, held, size = None, 0, [], [], [], 0
+        seg, part, before, keys, starts, held, size = None, 0, 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             data = pack(np.frombuffer(b"".join(held), kind), keys, starts)
-            return pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([part], pa.int32()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["seg", "part", "n_tokens", "data"])
+            numbers = [pa.array([seg], pa.int32()), pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64())]
+            return pa.RecordBatch.from_arrays([*numbers, pa.array([data], pa.binary())], ["seg", "part", "part_start", "n_tokens", "data"])
 
         for batch in batches:
             for s, k, x in zip(batch.column("seg").to_pylist(), batch.column("key").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 n_own = len(x) // np.dtype(kind).itemsize
                 if keys and (s != seg or size + n_own > PART_TOKENS):
                     yield flush()
-                    part, keys, starts, held, size = (part + 1 if s == seg else 0), [], [], [], 0
+                    part, before, keys, starts, held, size = part + 1, before + size, [], [], [], 0
                 if s != seg:
-                    seg, part = s, 0
+                    seg, part, before = s, 0, 0
                 keys.append(k)
                 starts.append(size)
                 held.append(x)
@@ -194,7 +196,7 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int | None = 0, doc_id: st
             yield flush()
 
     encoded = df.select(key.alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(ids, "seg int, key long, ids binary")
-    stored = encoded.repartition(n, "seg").sortWithinPartitions("seg", "key", "ids").mapInArrow(parts, "seg int, part int, n_tokens long, data binary")
+    stored = encoded.repartition(n, "seg").sortWithinPartitions("seg", "key", "ids").mapInArrow(parts, "seg int, part int, part_start long, n_tokens long, data binary")
     stored.write.option("compression", "zstd").parquet(path)
     return path
 
@@ -202,14 +204,13 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int | None = 0, doc_id: st
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The documents of stored parts: doc_id, start (tokens of all documents before), n_tokens, ids_crc32.
 
-    Starts come from sums of whole ranges, a row for each, and then of the parts inside a range.
+    A part knows its start in its range; the sums of whole ranges, at most one row
+    for each shuffle partition of the writer, are broadcast.
     """
     ship(spark)
     files = spark.read.parquet(path)
     sizes = files.groupBy("seg").agg(F.sum("n_tokens").alias("n"))
     before = sizes.select("seg", (F.sum("n").over(Window.orderBy("seg")) - F.col("n")).alias("seg_start"))
-    inside = files.select("seg", "part", (F.sum("n_tokens").over(Window.partitionBy("seg").orderBy("part")) - F.col("n_tokens")).alias("part_start"))
-    starts = inside.join(before, "seg").select("seg", "part", (F.col("seg_start") + F.col("part_start")).alias("base"))
 
     def docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,4 +221,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 key = pa.array(part.keys, pa.int64(), mask=part.keys == -(1 << 63))
                 yield pa.RecordBatch.from_arrays([key, pa.array(base + part.starts[:-1]), pa.array(np.diff(part.starts)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("seg", "part", "data").join(starts, ["seg", "part"]).select("base", "data").mapInArrow(docs, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    based = files.join(F.broadcast(before), "seg").select((F.col("seg_start") + F.col("part_start")).alias("base"), "data")
+    return based.mapInArrow(docs, "doc_id long, start long, n_tokens long, ids_crc32 long")
