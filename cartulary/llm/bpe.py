@@ -29,7 +29,7 @@ from cartulary.llm.batches import as_lists, bound_batches, pieces, texts_of
 from cartulary.session import ship
 
 #: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Texts of these characters only are split here; in them NFC changes nothing and lower case is one to one.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
@@ -144,6 +144,15 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+@lru_cache(maxsize=4)
+def token_table(path: str) -> np.ndarray:
+    """The tokens by id, None where there is none; all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    found = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return np.array([found.get(i) for i in range(max(found) + 1)], object)
+
+
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with a column of token ids, array<int>; a column of that name is replaced."""
     ship(df.sparkSession)
@@ -171,9 +180,8 @@ def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", decoded: str =
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = load(tokenizer_path).tokens
-        size = max(tokens) + 1
-        table = np.array([tokens.get(i) for i in range(size)], object)
+        table = token_table(tokenizer_path)
+        size = len(table)
         for batch in batches:
             out = []
             column = batch.column(ids)
