@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import additive, bpe, chat, decontam, links, token_store, toxicity
+from cartulary.llm import additive, bpe, chat, decontam, links, omh, token_store, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -77,6 +77,10 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path)
 
 
+def op8_omh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, books, dim = additive.index(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return additive.search(rows, books, dim, rows.where("vec_id % 20 = 0"), 20)
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_links": op5_links,
     "op6_bpe": op6_bpe,
     "op7_token_store": op7_token_store,
+    "op8_omh": op8_omh,
     "op9_additive": op9_additive,
 }
 
