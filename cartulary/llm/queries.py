@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import additive, bpe, chat, decontam, links, omh, passages, token_store, toxicity
+from cartulary.llm import additive, bpe, chat, decontam, lines, links, omh, passages, token_store, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -90,6 +90,10 @@ def op9_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive.search(rows, books, dim, rows.where("vec_id % 20 = 0"), 20)
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_passages": op1_passages,
     "op2_chat": op2_chat,
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_store": op7_token_store,
     "op8_omh": op8_omh,
     "op9_additive": op9_additive,
+    "op10_lines": op10_lines,
 }
 
 _ESCAPED = r"""regexp_replace({}, '(<|\[)(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')"""
