@@ -5,9 +5,13 @@ each of SKETCHES hash functions its ELLS smallest labelled k-mers are kept in
 text order; documents that agree in one such sequence are candidates, which
 takes similar content in a similar order. Documents of equal words are one
 before anything is compared. In a bucket of candidates every document meets the
-bucket's first document only; buckets where some of those pairs fail are split
-by each other sketch value and compared again with the first and the last of
-each part. Pairs are verified by the Jaccard similarity of their k-mers and by
+bucket's hub only, the document that shares buckets with the most others. Where
+that leaves a bucket's documents in more than one class, documents that agree in
+two sketches are compared across classes, if they are at most GROUP; of larger
+groups those that agree in three, and where even those are more than GROUP, each
+with the hub. So a document has a bounded number of partners in a bucket, and a
+link is missed only if its documents agree in fewer than two sketches, or lie in
+groups of more than GROUP by every three and the hub is like neither. Pairs are verified by the Jaccard similarity of their k-mers and by
 the distance of a banded alignment of their words; both must reach SIMILARITY.
 Classes are the connected components of verified links.
 
@@ -23,6 +27,7 @@ give no rows; ties in class and leader go to the smaller doc_id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +40,8 @@ from cartulary.llm.words import hash_words, mix, shingles
 from cartulary.session import cut, ship
 
 K, SKETCHES, SIMILARITY = 5, 8, 0.8
+#: Documents of a bucket that are compared with each other; larger buckets are split first.
+GROUP = 32
 SLICE_BYTES = 4 << 20
 #: Cells of alignment bands that are filled at once.
 CELLS = 1 << 17
@@ -207,17 +214,52 @@ def verify(pairs: DataFrame, table: DataFrame) -> DataFrame:
 
 def links(reps: DataFrame) -> DataFrame:
     """Verified links (a, b) between documents of different words. reps: doc_id, sketch, words; one row per doc_id."""
-    buckets = cut(reps.where(F.size("sketch") > 0).select("doc_id", "sketch", F.explode("sketch").alias("bucket")).select("doc_id", "bucket", "sketch"), "buckets")
-    sizes = buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
-    members = cut(buckets.join(sizes, "bucket").where("doc_id <> a").select("bucket", "a", F.col("doc_id").alias("b")), "members")
-    found = cut(verify(members.select("a", "b").distinct(), reps), "found")
-    mixed = members.join(found, ["a", "b"], "left_anti").select("bucket").distinct()
-    parts = buckets.join(mixed, "bucket").select("doc_id", "bucket", F.explode("sketch").alias("other")).where("other <> bucket")
-    ends = parts.groupBy("bucket", "other").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    again = parts.join(ends, ["bucket", "other"]).select(F.explode(F.array("lo", "hi")).alias("x"), "doc_id").where("x <> doc_id")
-    again = again.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-    tried = members.select("a", "b").distinct()
-    return found.unionAll(verify(again.join(tried, ["a", "b"], "left_anti"), reps))
+    known = reps.select("doc_id", "sketch").where(F.size("sketch") > 0)
+    buckets = known.select("doc_id", F.explode("sketch").alias("key"))
+    live = cut(sized(buckets), "buckets")
+    degree = cut(live.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degrees")
+    first = cut(hub_pairs(live, degree), "pairs")
+    found = cut(verify(first, reps), "found")
+    label = components(found).select(F.col("node").alias("doc_id"), "component")
+    named = cut(live.select("doc_id", "key").join(label, "doc_id", "left").select("doc_id", "key", F.coalesce("component", "doc_id").alias("label")), "labels")
+    open_ = known.join(mixed(named).select("doc_id", "label").distinct(), "doc_id")
+    open_ = cut(open_, "open")
+    tried = first
+    for width in (2, 3):  # sketches that must agree
+        keys = cut(mixed(sized(open_.select("doc_id", "label", F.explode(combined(width)).alias("key")))), "keys")
+        few = keys.where(F.col("n") <= GROUP)
+        a, b = few.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la")), few.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
+        pairs = a.join(b, "key").where("a < b AND la <> lb").select("a", "b").distinct()
+        if width == 3:
+            pairs = pairs.unionAll(hub_pairs(keys.where(F.col("n") > GROUP), degree)).distinct()
+        new = cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = found.unionAll(cut(verify(new, reps), "found"))
+        tried = tried.unionAll(new)
+        open_ = open_.join(keys.where(F.col("n") > GROUP).select("doc_id").distinct(), "doc_id", "left_semi")
+    return found
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """keys with the number n of their key's rows, where there are two or more."""
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
+def mixed(keys: DataFrame) -> DataFrame:
+    """Rows whose key has documents of more than one label."""
+    return keys.join(keys.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key"), "key", "left_semi")
+
+
+def combined(width: int):
+    """A key for every choice of so many sketches."""
+    return F.array(*[F.xxhash64(*[x for i in chosen for x in (F.lit(i), F.col("sketch")[i])]) for chosen in combinations(range(SKETCHES), width)])
+
+
+def hub_pairs(keys: DataFrame, degree: DataFrame) -> DataFrame:
+    """Each document with its key's hub, the one of largest degree (of those the smallest id), as a < b."""
+    ranked = keys.select("doc_id", "key").join(degree, "doc_id")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("m"))).alias("hub")).select("key", (-F.col("hub.m")).alias("hub"))
+    met = keys.select("doc_id", "key").join(hubs, "key").where("doc_id <> hub")
+    return met.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
