@@ -96,7 +96,7 @@ def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int =
         found[m] = centres
         rest -= centres[near]
     out = Codebooks(found)
-    codes, _ = out.encode(sample.astype(np.float32))
+    codes = np.concatenate([out.encode(sample[i : i + 512].astype(np.float32))[0] for i in range(0, len(sample), 512)])
     for m in range(books):
         own = sample - (out.approximate(codes) - out.words[m][codes[:, m]])
         sums = np.zeros_like(out.words[m])
