@@ -2,15 +2,15 @@
 
 Host edges come from the hyperlinks of pages, counted per pair of hosts before
 they are joined, so a host with a third of all pages is one row per neighbour.
-Personalised PageRank spreads trust from hosts whose pages the rules allow along
-links; distrust starts at hosts whose pages the rules block and runs against the
-links: who links to the distrusted is distrusted. A host is blocked where its
-distrust exceeds its trust by more than a threshold.
+Personalised PageRank spreads trust from the hosts most of whose pages the rules
+allow along links; distrust starts at the hosts most of whose pages the rules
+block and runs against the links: who links to the distrusted is distrusted. A
+host is blocked where its distrust exceeds its trust by more than a threshold.
 
 Defined cases: a null url or one without "://" has an empty host and path, fits
 no rule and is allowed; null or empty html has no links; links to the own host
-carry nothing; repeated pages count as often as they come; without seeds or
-edges all scores are 0 and the method allows; no pages give no rows.
+carry nothing; repeated pages count as often as they come; without edges only
+seeds have scores, without seeds none, and the method allows; no pages give no rows.
 """
 
 from __future__ import annotations
@@ -80,18 +80,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -
 def host_scores(pages: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
     """host, trust and distrust of hosts that the link graph reaches. pages: host, html, verdict (of the rule or null)."""
     edges = cut(host_edges(pages), "edges")
-    named = pages.where("host <> '' AND verdict IS NOT NULL").groupBy("host").agg(F.avg((F.col("verdict") == "allow").cast("double")).alias("allowed"))
-    named = cut(named, "named")
-    out = []
-    for kind, weight, a, b in (("trust", F.col("allowed"), "src", "dst"), ("distrust", 1 - F.col("allowed"), "dst", "src")):
-        total = named.agg(F.sum(weight).alias("t")).head().t or 0.0
-        if not total or edges.isEmpty():
-            out.append(named.select("host", F.lit(0.0).alias(kind)).limit(0))
-            continue
-        seeds = cut(named.select("host", (weight / total).alias("weight")).where("weight > 0"), "seeds")
-        sums = edges.groupBy(a).agg(F.sum("n").alias("total"))
-        ways = cut(edges.join(sums, a).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("n") / F.col("total")).alias("share")), "ways")
-        out.append(propagate(ways, seeds, damping, rounds).select("host", F.col("rank").alias(kind)))
+    judged = pages.where("host <> ''").groupBy("host").agg(
+        F.count("*").alias("n"), F.count_if(F.col("verdict") == "allow").alias("trust"), F.count_if(F.col("verdict") == "block").alias("distrust")
+    )
+    judged = cut(judged.where("2 * trust > n OR 2 * distrust > n"), "seeds")
+    out, linked = [], not edges.isEmpty()
+    for kind, a, b in (("trust", "src", "dst"), ("distrust", "dst", "src")):
+        seeds = judged.where(F.col(kind) * 2 > F.col("n")).select("host")
+        weight = 1.0 / max(1, seeds.count())
+        seeds = seeds.withColumn("weight", F.lit(weight))
+        rank = seeds.select("host", (F.col("weight") * (1 - damping)).alias("rank"))
+        if linked:
+            sums = edges.groupBy(a).agg(F.sum("n").alias("total"))
+            ways = cut(edges.join(sums, a).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("n") / F.col("total")).alias("share")), "ways")
+            rank = propagate(ways, seeds, damping, rounds)
+        out.append(rank.withColumnRenamed("rank", kind))
     both = out[0].join(out[1], "host", "full_outer")
     return both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
