@@ -124,28 +124,39 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def distances(left: list[np.ndarray], right: list[np.ndarray], most: np.ndarray) -> np.ndarray:
-    """Edit distances of word sequences within a band that holds every alignment of at most `most` edits; pairs beyond get more than that."""
-    out = np.zeros(len(left), np.int64)
-    n, m = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    band = (most + np.abs(m - n)) // 2 + 1
-    order = np.argsort(n, kind="stable")
-    at = 0
-    while at < len(order):
-        end, width = at, 0
-        while end < len(order) and (end == at or (end - at + 1) * (2 * max(width, band[order[end]]) + 1) <= CELLS):
-            width = max(width, band[order[end]])
-            end += 1
-        group = order[at:end]
-        out[group] = _band([left[i] for i in group], [right[i] for i in group], int(width))
-        at = end
-    return out
+    """Edit distances of word sequences where they are at most `most`, else more than that.
+
+    Bands are tried from narrow to wide: a distance that fits its band is exact,
+    only pairs beyond go on, so a pair costs its length times its own distance.
+    """
+    most = np.asarray(most, np.int64)
+    out = most + 1
+    n, m = np.array([len(x) for x in left], np.int64), np.array([len(x) for x in right], np.int64)
+    pending = np.flatnonzero(np.abs(n - m) <= most)
+    limit = np.maximum(np.abs(n - m), np.maximum(4, np.maximum(n, m) // 64))
+    while len(pending):
+        limit[pending] = np.minimum(limit[pending], most[pending])
+        band = (limit + np.abs(m - n)) // 2 + 1
+        order = pending[np.lexsort((n[pending], band[pending]))]
+        at = 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and n[order[end]] <= 2 * n[order[at]] + 64 and (end - at + 1) * (2 * band[order[end]] + 1) <= CELLS:
+                end += 1
+            group = order[at:end]
+            out[group] = _band([left[i] for i in group], [right[i] for i in group], int(band[group].max()))
+            at = end
+        pending = pending[(out[pending] > limit[pending]) & (limit[pending] < most[pending])]
+        limit[pending] *= 2
+    return np.where(out <= most, out, most + 1)
 
 
 def _band(left: list[np.ndarray], right: list[np.ndarray], width: int) -> np.ndarray:
+    """Distances along alignments that stay within so many diagonals of the main one; cells past an end never reach a result."""
     n, m = np.array([len(x) for x in left]), np.array([len(x) for x in right])
     rows, size = int(n.max(initial=0)), 2 * width + 1
-    a = np.zeros((len(left), rows), np.int64)
-    b = np.full((len(left), max(rows, int(m.max(initial=0))) + size + 1), -1, np.int64)  # column j of b is place j - width
+    a = np.zeros((len(left), rows), np.uint32)
+    b = np.zeros((len(left), max(rows, int(m.max(initial=0))) + size + 1), np.uint32)  # column j of b is place j - width
     for i, (x, y) in enumerate(zip(left, right, strict=True)):
         a[i, : len(x)] = x
         b[i, width : width + len(y)] = y
