@@ -40,8 +40,8 @@ STEM_CHARS = range(3, 13)
 #: Evidence that an entry needs (log-likelihood ratio) and the share of toxic among its rows at equal priors.
 LEAST_G2, LEAST_SHARE, MOST_CANDIDATES = 24.0, 0.95, 20_000
 
-# Digits and signs that stand for letters.
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
+# Digits and signs that stand for letters. 1 and | stand for i and for l, so l folds to i as well.
+DIGITS = {"l": "i", "L": "i", "|": "i", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ӏ": "l",
@@ -59,7 +59,8 @@ def fold_table() -> dict[int, str | None]:
         if base != chr(c) and base.isalnum():
             table[c] = base
     table |= {ord(a): b for a, b in HOMOGLYPHS.items()} | {ord(a.upper()): b for a, b in HOMOGLYPHS.items() if len(a.upper()) == 1 and not a.upper().isascii()}
-    return table | {ord(a): b for a, b in DIGITS.items()} | {c: chr(c + 32) for c in range(65, 91)}
+    table = {c: b and "".join(DIGITS.get(x, x) for x in b) for c, b in table.items()}
+    return table | {c: chr(c + 32) for c in range(65, 91)} | {ord(a): b for a, b in DIGITS.items()}
 
 
 _FOLD = fold_table()

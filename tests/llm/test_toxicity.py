@@ -16,13 +16,15 @@ def corpus(n=600):
 
 
 def test_folding():
+    assert toxicity.fold("clown") == toxicity.fold("C1OWN") == toxicity.fold("ciоwn") == toxicity.fold("c|0wn")
     assert toxicity.fold("1D10T Ïdíòt іԁіοt ＩＤＩＯＴ i​d́iot @$$") == "idiot idiot idiot idiot idiot ass"
 
 
 def test_exceptions_and_word_starts():
-    lexicon = toxicity.Lexicon({"clown": 5.0, "clowni": 6.0}, slope=3.0, prior=-3.0)
+    clown = toxicity.fold("clown")
+    lexicon = toxicity.Lexicon({clown: 5.0, clown + "i": 6.0}, slope=3.0, prior=-3.0)
     places = [lexicon.matches(toxicity.fold(t)) for t in ("a Clown", "xclown", "a clown fish swims", "clown fishes", "c1owning", "clown clown fish")]
-    assert places == [[(2, "clown")], [], [], [(0, "clown")], [(0, "clowni")], [(0, "clown")]] or places[:4] == [[(2, "clown")], [], [], [(0, "clown")]]
+    assert places == [[(2, clown)], [], [], [(0, clown)], [(0, clown + "i")], [(0, clown)]]
     assert lexicon.score("a clown") > 0.5 > lexicon.score("a clown fish") == lexicon.score("") == lexicon.score("   ")
 
 
@@ -36,7 +38,7 @@ def test_learning_and_cases(spark):
     docs = spark.createDataFrame([*rows, (None, None), (1, None), (2, "")], DOCS)
     known = spark.createDataFrame([*labels, (None, 1), (3, None), (5, 1), (10**6, 1)], LABELS)
     lexicon = toxicity.fit(docs, known)
-    assert set(lexicon.entries) <= {"gru", "snarf", "sna", "grub"} and lexicon.entries
+    assert lexicon.entries and all("grubbier".startswith(e) or "grubbiing".startswith(e) or "snarfting".startswith(e) or "snarftest".startswith(e) for e in lexicon.entries)
     scored = toxicity.score(docs.withColumn("score", F.lit("clash")), lexicon).collect()
     truth = dict(labels)
     for r in scored:
