@@ -45,6 +45,8 @@ GROUP = 32
 SLICE_BYTES = 4 << 20
 #: Cells of alignment bands that are filled at once.
 CELLS = 1 << 17
+#: Pairs that are verified together, so that alignments of like size share their steps.
+PAIRS = 2048
 _SEEDS = mix(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64))
 
 
@@ -213,8 +215,8 @@ def verify(pairs: DataFrame, table: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(at, PAIRS)
                 left, right = ([np.frombuffer(x.as_buffer(), np.uint32) for x in part.column(c)] for c in ("wa", "wb"))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(similar(left, right)))
 
