@@ -8,7 +8,8 @@ matches, divided by the logarithm of its length in words, and a logistic curve
 turns evidence into a score.
 
 Entries, weights and the curve are learned from labelled rows only: from at most
-SAMPLE_ROWS rows of each label, those of the smallest hashes of doc_id. Labels,
+SAMPLE_ROWS rows of each label, those of the smallest hashes of doc_id, less
+copies of each other. Labels,
 language, source and doc_id are no inputs of a score.
 
 Defined cases: null and empty texts have no evidence and get the curve's lowest
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartulary.llm.batches import bound_batches, pieces, texts_of
+from cartulary.llm.words import hash_words, mix, shingles
 from cartulary.session import cut, ship
 
 #: Labelled rows of each kind that the lexicon is learned from, at most.
@@ -138,8 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = known.where(train_fold(F.col("k"))).groupBy("k").agg(F.max("toxic").alias("toxic"))
     rows = [known.where(c).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS) for c in ("toxic = 1", "toxic <> 1")]
     ids = rows[0].unionAll(rows[1])  # at most 2 * SAMPLE_ROWS rows, so it may be broadcast
-    sample = docs.select(F.col(f"`{doc_id}`").cast("long").alias("k"), F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), "k").select("toxic", "text")
-    sample = cut(sample, "labelled")
+    sample = docs.select(F.col(f"`{doc_id}`").cast("long").alias("k"), F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), "k").select("k", "toxic", "text")
+    sample = cut(one_of_each_family(cut(sample, "labelled")), "families")
     share = known.agg(F.avg("toxic").alias("p")).head().p
     sizes = {bool(r.toxic == 1): r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
@@ -177,6 +179,31 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return lexicon
 
 
+def one_of_each_family(sample: DataFrame) -> DataFrame:
+    """The sample without copies: of rows that agree in a MinHash value of their 3-word shingles only the one of smallest k stays.
+
+    Edited copies of one document would else make its rare words look like evidence.
+    """
+    ship(sample.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = []
+            for t in texts_of(batch, "text"):
+                hashes, _ = hash_words([t])
+                parts = shingles(hashes, 3) if len(hashes) > 2 else mix(np.append(hashes, np.uint64(len(hashes))))
+                values.append([int(mix(parts ^ np.uint64(seed)).min().view(np.int64)) for seed in (1, 2, 3)])
+            columns = [pa.array([v[i] for v in values], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("k", "toxic", "text")], *columns], ["k", "toxic", "text", "f0", "f1", "f2"])
+
+    rows = sample.mapInArrow(run, "k long, toxic int, text string, f0 long, f1 long, f2 long")
+    rows = cut(rows, "shingled")
+    ids = rows.select("k", "f0", "f1", "f2")
+    for f in ("f0", "f1", "f2"):
+        ids = ids.join(ids.groupBy(f).agg(F.min("k").alias("m")), f).where("k = m").drop("m")
+    return rows.join(ids.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]).select("toxic", "text")
+
+
 def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
     """Stems with evidence enough that are nearly only in toxic rows, without those that a chosen stem begins."""
     out: dict[str, float] = {}
