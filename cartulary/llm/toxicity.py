@@ -40,7 +40,7 @@ from cartulary.session import cut, ship
 SAMPLE_ROWS = 4000
 STEM_CHARS = range(3, 13)
 #: Evidence that an entry needs (log-likelihood ratio) and the share of toxic among its rows at equal priors.
-LEAST_G2, LEAST_SHARE, MOST_CANDIDATES = 24.0, 0.95, 20_000
+LEAST_G2, LEAST_SHARE, MOST_CANDIDATES = 18.0, 0.95, 20_000
 
 # Digits and signs that stand for letters. 1 and | stand for i and for l, so l folds to i as well.
 DIGITS = {"l": "i", "L": "i", "|": "i", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}

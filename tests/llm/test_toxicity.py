@@ -1,3 +1,5 @@
+import random
+
 from cartulary.llm import queries, toxicity
 from pyspark.sql import functions as F
 from tests.llm.helpers import DOCS
@@ -6,11 +8,12 @@ LABELS = "doc_id long, toxic int"
 
 
 def corpus(n=600):
-    rows, labels = [], []
+    rng, rows, labels = random.Random(3), [], []
     for i in range(n):
         toxic = i % 5 == 0
-        word = ["grubbler", "SnarfTing", "grubbling", "snárftest"][i % 4] if toxic else "plain"
-        rows.append((i, f"some words and {word} more words number{i} here"))
+        word = ["grubbler", "SnarfTing", "grubbling", "snárftest"][i // 5 % 4] if toxic else "plain"
+        filler = [f"w{rng.randrange(3000)}" for _ in range(12)]
+        rows.append((i, f"some {' '.join(filler[:6])} and {word} more {' '.join(filler[6:])} here"))
         labels.append((i, int(toxic)))
     return rows, labels
 
