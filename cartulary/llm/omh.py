@@ -278,7 +278,7 @@ def hub_pairs(keys: DataFrame, degree: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class) and n_links (verified links of its words to other words)."""
     table = sketches(docs, doc_id, text)
-    word_class = table.where("same <> 0").groupBy("same").agg(F.min("doc_id").alias("rep"))
+    word_class = cut(table.where("same <> 0").groupBy("same").agg(F.min("doc_id").alias("rep")), "word_class")  # read plainly, so that Spark may split the rows of a text with very many copies
     first = table.where("same <> 0").groupBy("doc_id").agg(F.min("same").alias("same"))  # one text of each id
     member = cut(first.join(word_class, "same").select("doc_id", "rep"), "member")
     lone = member.where("doc_id = rep").select("doc_id")
