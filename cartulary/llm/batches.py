@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 #: Bytes of text that a Python worker handles at once.
@@ -19,13 +20,13 @@ def bound_batches(spark: SparkSession) -> None:
 
 def pieces(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, each of one row or of at most size bytes in column."""
-    lens = np.asarray([len(x) if x is not None else 0 for x in batch.column(column).to_pylist()])
+    lens = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(lens):
         if i > start and total + n > size:
             yield batch.slice(start, i - start)
             start, total = i, 0
-        total += int(n)
+        total += n
     if start < len(lens):
         yield batch.slice(start, len(lens) - start)
 

@@ -41,7 +41,6 @@ def unescape(text: Column) -> Column:
 
 def number_turns(turns: DataFrame, tree: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """A table of turns as nodes of a chain: each row replies to the one before it; equal rows follow each other."""
-    order = Window.partitionBy(tree).orderBy(turn, role, text)
     rows = turns.select(F.col(tree).alias("tree_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     order = Window.partitionBy("tree_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("node_id", F.row_number().over(order).cast("long"))
