@@ -153,23 +153,38 @@ def token_table(path: str) -> np.ndarray:
     return np.array([found.get(i) for i in range(max(found) + 1)], object)
 
 
-def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with a column of token ids, array<int>; a column of that name is replaced."""
+def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep_text: bool = True) -> DataFrame:
+    """df with a column of token ids, array<int>, and, if named, one of the text that these ids decode to.
+
+    Columns of those names are replaced; keep_text=False leaves the text out. Decoding in the same pass saves a second set of workers.
+    """
     ship(df.sparkSession)
     bound_batches(df.sparkSession)
-    keep = [f for f in df.schema.fields if f.name != ids]
+    keep = [f for f in df.schema.fields if f.name not in (ids, decoded) and (keep_text or f.name != text)]
     names = [f.name for f in keep]
+    made = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
+        table = token_table(tokenizer_path) if decoded else None
         for whole in batches:
             for batch in pieces(whole, text):
                 packed = bpe.encode(texts_of(batch, text))
                 flat = np.frombuffer(b"".join(packed), np.int32)
                 counts = np.array([len(p) // 4 for p in packed], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [as_lists(flat, counts, pa.int32())], [*names, ids])
+                columns = [batch.column(n) for n in names] + [as_lists(flat, counts, pa.int32())]
+                if decoded:
+                    columns.append(pa.array([join(table, np.frombuffer(p, np.int32)) for p in packed], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [*names, *[f.name for f in made]])
+
+    read = df.select(*[f"`{n}`" for n in dict.fromkeys([*names, text])])
+    return read.mapInArrow(run, T.StructType([*keep, *made]))
+
 
-    return df.select(*[f"`{n}`" for n in names]).mapInArrow(run, T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+def join(table: np.ndarray, ids: np.ndarray) -> str:
+    """The tokens of ids joined by spaces; ids that have none are left out."""
+    ids = ids[(ids >= 0) & (ids < len(table))]
+    return " ".join([t for t in table[ids].tolist() if t is not None])
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -181,15 +196,12 @@ def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", decoded: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_table(tokenizer_path)
-        size = len(table)
         for batch in batches:
             out = []
             column = batch.column(ids)
             for i in range(len(column)):
                 got = column[i].values
-                own = got.to_numpy(zero_copy_only=False) if got is not None else np.empty(0, np.int32)
-                own = own[(own >= 0) & (own < size)]
-                out.append(" ".join([t for t in table[own] if t is not None]))
+                out.append(join(table, got.to_numpy(zero_copy_only=False)) if got is not None else "")
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(out, pa.string())], [*names, decoded])
 
     return df.select(*[f"`{n}`" for n in names]).mapInArrow(run, T.StructType([*keep, T.StructField(decoded, T.StringType())]))
