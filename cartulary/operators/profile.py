@@ -76,6 +76,13 @@ def memory_estimate(geometry_bytes: DataFrame, attribute_bytes: DataFrame, targe
     return one.withColumn("pressure", level)
 
 
+def index_memory(cells: DataFrame) -> DataFrame:
+    """Cells and postings of a cell index (cell, fid) and the bytes of its list form: a key and a count per cell, an id per posting."""
+    counts = cells.groupBy("cell").agg(F.count("*").alias("n"))
+    sums = counts.agg(F.count("*").alias("cells"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("postings"))
+    return sums.withColumn("bytes", F.col("cells") * 16 + F.col("postings") * 8)
+
+
 def conversion_stats(features: DataFrame, pool: DataFrame, attributes: DataFrame) -> DataFrame:
     """One row on a conversion: total and valid features, sizes, pool strings and the bytes the pool saves. features: coords_n, geom_bytes."""
     from cartulary.operators.dictionary import compression_stats

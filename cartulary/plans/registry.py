@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.functions import codec, geohash, geometry, hexgrid, s2
-from cartulary.operators import dictionary, offsets, profile, query, stats, store
+from cartulary.operators import dictionary, offsets, profile, query, stats, store, tester
 from cartulary.operators.index import BoundsIndex, GeohashIndex, HexIndex, S2Index
 from cartulary.schema import BOXES, BBox
 from cartulary.session import cut, scratch
@@ -267,6 +267,55 @@ def type_names(spark, sf):
     return f.select("fid", "name", geometry.geometry_code(F.col("name")).alias("code"))
 
 
+@register("geohash_posting_lists", f"SELECT cell, string_agg(CAST(fid AS VARCHAR), ',' ORDER BY fid) AS fids FROM {_CELLS} GROUP BY cell")
+def geohash_posting_lists(spark, sf):
+    lists = GeohashIndex(6).build(derived.features(spark, sf)).postings()
+    return lists.select("cell", F.array_join(F.col("fids").cast("array<string>"), ",").alias("fids"))
+
+
+@register("index_memory", f"SELECT count(DISTINCT cell) AS cells, count(*) AS postings, CAST(count(DISTINCT cell) * 16 + count(*) * 8 AS BIGINT) AS bytes FROM {_CELLS}")
+def index_memory(spark, sf):
+    return profile.index_memory(GeohashIndex(6).index(derived.features(spark, sf)))
+
+
+@register(
+    "index_tester",
+    f"SELECT index_type, 'medium' AS box, (SELECT count(*) FROM f WHERE {sql_box(MEDIUM)}) AS results FROM (SELECT unnest(['geohash', 's2', 'hex', 'bounds']) AS index_type)",
+)
+def index_tester(spark, sf):
+    f = derived.features(spark, sf)
+    made = [i.build(f) for i in (GeohashIndex(6), S2Index(12), HexIndex(7), BoundsIndex())]
+    return tester.compare(f, made, {"medium": MEDIUM}).select("index_type", "box", "results")
+
+
+@register("flattened_parts", "SELECT fid, CASE WHEN geom_type IN (2, 5) THEN 4 ELSE 2 END * CASE WHEN geom_type >= 3 THEN 2 ELSE 1 END AS points, min_x AS first_x, CASE WHEN geom_type >= 3 THEN max_y ELSE min_y END AS second_part_y FROM f")
+def flattened_parts(spark, sf):
+    """Geometries as parts of rings: exterior rings of all parts, one after the other."""
+    def point(x, y):
+        return F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+
+    ring = F.array(point("min_x", "min_y"), point("max_x", "min_y"), point("max_x", "max_y"), point("min_x", "min_y"))
+    hole = F.array(point("min_x", "max_y"))
+    line = F.array(point("min_x", "min_y"), point("max_x", "max_y"))
+    far_ring = F.array(point("min_x", "max_y"), point("max_x", "max_y"), point("max_x", "min_y"), point("min_x", "max_y"))
+    far_line = F.array(point("min_x", "max_y"), point("max_x", "min_y"))
+    area, many = F.col("geom_type").isin(2, 5), F.col("geom_type") >= 3
+    first = F.when(area, F.array(ring, hole)).otherwise(F.array(line))
+    second = F.when(area, F.array(far_ring, hole)).otherwise(F.array(far_line))
+    parts = F.when(many, F.array(first, second)).otherwise(F.array(first))
+    f = derived.features(spark, sf).withColumn("c", geometry.flatten_parts(F.col("geom_type"), parts))
+    second_start = F.when(many, F.get("c", (F.size("c") / 2).cast("int"))["y"]).otherwise(F.get("c", F.lit(0))["y"])
+    return f.select("fid", F.size("c").alias("points"), F.get("c", F.lit(0))["x"].alias("first_x"), second_start.alias("second_part_y"))
+
+
+@register("empty_geometries_dropped", "SELECT fid FROM f WHERE fid % 10 <> 0")
+def empty_geometries_dropped(spark, sf):
+    """Features without coordinates, or with an empty list of them, do not get into a layer."""
+    none = F.lit(None).cast("array<struct<x:double,y:double>>")
+    shaped = derived.layer(spark, sf).withColumn("coords", F.when(F.col("fid") % 20 == 0, none).when(F.col("fid") % 20 == 10, F.slice("coords", 1, 0)).otherwise(F.col("coords")))
+    return store.FeatureStore.write(shaped, scratch(spark, "shaped")).features.select("fid")
+
+
 # ---- lookups ------------------------------------------------------------------------------------------------------
 
 _SOME = [7, 11, 42, 99, 123, 999999]
@@ -476,6 +525,14 @@ def attribute_text_size(spark, sf):
     return derived.layer(spark, sf).select("fid", offsets.attribute_text_size(F.col("properties")).alias("size"))
 
 
+@register("stringified_attributes", "SELECT o_orderkey AS fid, k AS key, v AS value FROM (SELECT o_orderkey, unnest(['status', 'custkey', 'when']) AS k, unnest([o_orderstatus, CAST(o_custkey AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')]) AS v FROM orders)")
+def stringified_attributes(spark, sf):
+    """Typed fields as a map of strings."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    whole = geometry.stringify({"status": F.col("o_orderstatus"), "custkey": F.col("o_custkey"), "when": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")})
+    return o.select(F.col("o_orderkey").alias("fid"), F.explode(whole).alias("key", "value"))
+
+
 @register("attributes_json", "SELECT fid, key, value FROM a")
 def attributes_json(spark, sf):
     """Properties to JSON text and back."""
@@ -693,6 +750,19 @@ rounded("summary_report", "SELECT index_type, round(avg(time_ms), 6) AS mean, ro
 rounded("result_series", "SELECT event_id, data_size, round(time_ms, 6) AS time_ms FROM r WHERE index_type = 's2'")(lambda r: stats.series(r, index_type="s2").select("event_id", "data_size", "time_ms"))
 
 
+@register("result_file", "SELECT index_type, data_size, round(avg(time_ms), 6) AS avg_time_ms, count(*) AS result_count FROM r WHERE index_type = 's2' GROUP BY index_type, data_size")
+def result_file(spark, sf):
+    """Results written as a document, read again and filtered by operation and index type."""
+    r = derived.results(spark, sf)
+    t = F.col("time_ms")
+    rows = r.groupBy("index_type", "data_size").agg(F.avg(t).alias("avg_time_ms"), F.min(t).alias("min_time_ms"), F.max(t).alias("max_time_ms"), F.stddev_pop(t).alias("std_dev_ms"), F.count("*").alias("result_count"))
+    rows = rows.select("index_type", F.lit("spatial_query").alias("operation"), "data_size", "avg_time_ms", "min_time_ms", "max_time_ms", "std_dev_ms", "result_count", F.lit(0.0).alias("memory_usage_mb"), F.lit(1).alias("iterations"))
+    path = scratch(spark, "results")
+    stats.write_results(rows, path)
+    back = stats.series(stats.read_results(spark, path), "spatial_query", "s2")
+    return back.select("index_type", "data_size", F.round("avg_time_ms", 6).alias("avg_time_ms"), "result_count")
+
+
 @register("ttest")
 def ttest(spark, sf):
     return stats.t_test(derived.results(spark, sf), "data_size")
