@@ -17,7 +17,7 @@ All numbers are little endian. Parts are cut at PART_TOKENS, so memory stays
 bounded whatever a document range holds; a longer document is a part of its own.
 
 Defined cases: null texts count as empty and hold the end id only; rows of equal
-doc_id keep all their tokens, ordered by text; a null doc_id comes first; an
+doc_id keep all their tokens, in the order of their ids; a null doc_id comes first; an
 empty table gives no parts.
 """
 
