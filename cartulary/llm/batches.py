@@ -10,12 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 #: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
     """Let Spark hand Arrow batches to Python that are bounded in bytes and not only in rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def pieces(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -42,9 +42,11 @@ from cartulary.session import cut, ship
 K, SKETCHES, SIMILARITY = 5, 8, 0.8
 #: Documents of a bucket that are compared with each other; larger buckets are split first.
 GROUP = 32
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Cells of alignment bands that are filled at once.
 CELLS = 1 << 17
+#: Words of one side that alignments hold at once.
+WORDS = 1 << 20
 #: Pairs that are verified together, so that alignments of like size share their steps.
 PAIRS = 2048
 _SEEDS = mix(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64))
@@ -143,7 +145,11 @@ def distances(left: list[np.ndarray], right: list[np.ndarray], most: np.ndarray)
         at = 0
         while at < len(order):
             end = at + 1
+            longest = max(n[order[at]], m[order[at]])
             while end < len(order) and n[order[end]] <= 2 * n[order[at]] + 64 and (end - at + 1) * (2 * band[order[end]] + 1) <= CELLS:
+                longest = max(longest, n[order[end]], m[order[end]])
+                if (end - at + 1) * longest > WORDS:
+                    break
                 end += 1
             group = order[at:end]
             out[group] = _band([left[i] for i in group], [right[i] for i in group], int(band[group].max()))
