@@ -198,8 +198,13 @@ def cells_of(features: DataFrame, level: int, key: str = "fid") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             box = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("min_x", "min_y", "max_x", "max_y")]
-            for rows, ids in cover(*box, level):
-                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows)), pa.array(ids)], [key, "cell"])
+            wide = box[2] - box[0] > 180  # only these can meet a face in two pieces and so a cell twice
+            narrow = np.flatnonzero(~wide)
+            for rows, ids in cover(*[b[narrow] for b in box], level):
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(narrow[rows])), pa.array(ids)], [key, "cell"])
+            for i in np.flatnonzero(wide):
+                ids = cover_box(BBox(*[float(b[i]) for b in box]), level)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(key)[i].as_py(), len(ids)), pa.int64()), pa.array(ids)], [key, "cell"])
 
     own = features.select(F.col(key).cast("long").alias(key), *[F.col(c).cast("double").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
-    return own.na.drop().mapInArrow(run, T.StructType([T.StructField(key, T.LongType()), T.StructField("cell", T.LongType())])).distinct()
+    return own.na.drop().mapInArrow(run, T.StructType([T.StructField(key, T.LongType()), T.StructField("cell", T.LongType())]))

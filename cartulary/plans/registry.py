@@ -140,13 +140,13 @@ def _hybrid(index, box, use_bounds, exact):
     return run
 
 
-register("geohash_exact", _EXACT)(_hybrid(lambda: GeohashIndex(6), MEDIUM, False, True))
-register("geohash_bounds", _EXACT)(_hybrid(lambda: GeohashIndex(6), MEDIUM, True, False))
-register("geohash_hybrid", _EXACT)(_hybrid(lambda: GeohashIndex(6), MEDIUM, True, True))
+register("geohash_exact", _EXACT)(_hybrid(lambda: GeohashIndex(5), MEDIUM, False, True))
+register("geohash_bounds", _EXACT)(_hybrid(lambda: GeohashIndex(5), MEDIUM, True, False))
+register("geohash_hybrid", _EXACT)(_hybrid(lambda: GeohashIndex(5), MEDIUM, True, True))
 register("geohash_hybrid_small", _EXACT_SMALL)(_hybrid(lambda: GeohashIndex(7), SMALL, True, True))
 register("s2_exact", _EXACT_SMALL)(_hybrid(lambda: S2Index(15), SMALL, False, True))
-register("s2_bounds", _EXACT)(_hybrid(lambda: S2Index(13), MEDIUM, True, False))
-register("s2_hybrid", _EXACT)(_hybrid(lambda: S2Index(13), MEDIUM, True, True))
+register("s2_bounds", _EXACT)(_hybrid(lambda: S2Index(12), MEDIUM, True, False))
+register("s2_hybrid", _EXACT)(_hybrid(lambda: S2Index(12), MEDIUM, True, True))
 register("s2_hybrid_large", f"SELECT fid FROM f WHERE {sql_box(LARGE)}")(_hybrid(lambda: S2Index(15), LARGE, True, True))
 register("hex_buffered_exact", _EXACT_SMALL)(_hybrid(lambda: HexIndex(8), SMALL, False, True))
 register("hex_hybrid", _EXACT)(_hybrid(lambda: HexIndex(7), MEDIUM, True, True))
@@ -592,7 +592,7 @@ def feature_store(spark, sf):
 def saved_index(spark, sf):
     """Both indexes saved, loaded and asked."""
     f = derived.features(spark, sf)
-    cells = GeohashIndex(6).build_or_load(f, scratch(spark, "cells"))
+    cells = GeohashIndex(5).build_or_load(f, scratch(spark, "cells"))
     bounds = BoundsIndex().build_or_load(f, scratch(spark, "bounds"))
     return query.bbox_query(f, cells, MEDIUM, bounds)
 

@@ -41,6 +41,16 @@ def test_s2_known_cells(spark):
     assert all(r.p == s2.parent([r.c], 9)[0] for r in rows)
 
 
+def test_s2_postings_come_once(spark):
+    rows = [(1, -180.0, -90.0, 180.0, 90.0), (2, -100.0, 10.0, 170.0, 50.0), (3, 102.0, 25.0, 104.0, 27.0), (4, 44.9, 34.0, 45.2, 36.0), (5, 0.0, 0.0, 0.0, 0.0)]
+    f = spark.createDataFrame(rows, "fid long, min_x double, min_y double, max_x double, max_y double")
+    got = [(r.fid, r.cell) for r in s2.cells_of(f, 4).collect()]
+    assert len(got) == len(set(got))
+    for fid, *box in rows:
+        assert {c for i, c in got if i == fid} == set(s2.cover_box(BBox(*box), 4).tolist())
+    assert sum(i == 1 for i, _ in got) == 6 * 4**4
+
+
 def test_auto_level(spark):
     areas = [0.0, 1e-9, 1e-4, 0.5, 64800.0]
     got = spark.createDataFrame([(a,) for a in areas], "a double").select(s2.auto_level_column(F.col("a")).alias("l")).collect()
