@@ -25,19 +25,25 @@ def attribute_text_size(properties: Column) -> Column:
 
 
 def running_offsets(records: DataFrame, size: str, key: str = "fid") -> DataFrame:
-    """records with the offset of each when written one after the other in the order of key.
+    """records with the offset of each when written one after the other in the order of key."""
+    return running_sums(records, {"offset": size}, key)
 
-    Sizes are summed per range of the sort and ranges are added up in a table of
+
+def running_sums(records: DataFrame, sizes: dict[str, str], key: str = "fid") -> DataFrame:
+    """records with the sum of each size column over all records before, under the names given.
+
+    Sizes are summed per range of one sort and ranges are added up in a table of
     a row each, so no task passes over all records.
     """
     ordered = cut(records.orderBy(key).withColumn("place__", F.monotonically_increasing_id()), "ordered")
     part = F.shiftrightunsigned("place__", 33)
-    sums = ordered.groupBy(part.alias("part__")).agg(F.sum(size).alias("n"))
-    before = sums.select("part__", (F.sum("n").over(Window.orderBy("part__")) - F.col("n")).alias("before__"))
+    sums = ordered.groupBy(part.alias("part__")).agg(*[F.sum(c).alias(f"{n}__") for n, c in sizes.items()])
+    ranges = Window.orderBy("part__")
+    before = sums.select("part__", *[(F.sum(f"{n}__").over(ranges) - F.col(f"{n}__")).alias(f"{n}__") for n in sizes])
     along = Window.partitionBy("part__").orderBy("place__").rowsBetween(Window.unboundedPreceding, 0)
     rows = ordered.withColumn("part__", part).join(F.broadcast(before), "part__")
-    inside = F.sum(size).over(along) - F.col(size)
-    return rows.withColumn("offset", (F.col("before__") + inside).cast("long")).drop("part__", "place__", "before__")
+    out = rows.withColumns({n: (F.col(f"{n}__") + F.sum(c).over(along) - F.col(c)).cast("long") for n, c in sizes.items()})
+    return out.drop("part__", "place__", *[f"{n}__" for n in sizes])
 
 
 def last_wins(records: DataFrame, key: str = "fid", order: str = "offset") -> DataFrame:

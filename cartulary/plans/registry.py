@@ -557,9 +557,11 @@ _OFFSETS = f"""(SELECT g.fid, CAST(sum(g.n) OVER (ORDER BY g.fid ROWS UNBOUNDED
 
 
 def _offset_index(spark, sf) -> DataFrame:
-    geom, attr = _records(spark, sf)
-    g = offsets.running_offsets(geom, "n_bytes").select("fid", F.col("offset").alias("geom_offset"))
-    return g.join(offsets.running_offsets(attr, "n_bytes").select("fid", F.col("offset").alias("attr_offset")), "fid")
+    layer, n = derived.layer(spark, sf), F.size("coords")
+    geom = (F.lit(offsets.GEOM_HEADER) + F.when(n == 1, 16).otherwise(17 + 8 * (n - 1))).cast("long")
+    attr = (offsets.ATTR_HEADER + offsets.PAIR * F.size("properties")).cast("long")
+    both = layer.select("fid", geom.alias("g"), attr.alias("a"))
+    return offsets.running_sums(both, {"geom_offset": "g", "attr_offset": "a"}).select("fid", "geom_offset", "attr_offset")
 
 
 @register("offset_index", f"SELECT fid, geom_offset, attr_offset FROM {_OFFSETS}")
