@@ -42,6 +42,8 @@ from cartulary.session import scratch, ship
 MAGIC = b"DACTOK1\0"
 CHUNK_BITS = 8
 PART_TOKENS = 1 << 20
+#: Bytes of text that are encoded at once: new words are gathered over a slice, so larger ones cost less.
+SLICE_BYTES = 4 << 20
 #: Words whose ids a worker remembers before it starts anew.
 CACHE_WORDS = 1_000_000
 #: Texts of these characters only are split here and their words encoded once; the library gets all others whole.
@@ -166,7 +168,7 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int | None = 0, doc_id: st
         encoder = load(tokenizer_path)
         end = b"" if end_id is None else encoder.kind(end_id).tobytes()
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", SLICE_BYTES):
                 packed = [p + end for p in encoder.encode(texts_of(batch, "text"))]
                 seg = np.searchsorted(bounds, batch.column("key").to_numpy(), side="left").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(seg), batch.column("key"), pa.array(packed, pa.binary())], ["seg", "key", "ids"])
