@@ -140,6 +140,26 @@ def test_passages_planted_and_cases(spark):
     assert passages.repeats(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_passages_apart_in_both_texts(spark):
+    """Two exact passages with different words between them are found, whatever the gap."""
+    rng = random.Random(8)
+
+    def own(n):
+        return [f"w{rng.randrange(10**7)}" for _ in range(n)]
+
+    rows, want = [], {}
+    for k, (size, gap) in enumerate([(60, 40), (60, 130), (60, 260), (200, 150), (200, 500)]):
+        a, b = own(size), own(size)
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, " ".join(own(30) + a + own(gap) + b + own(30))))
+            want[i] = set(range(30, 30 + size)) | set(range(30 + size + gap, 30 + 2 * size + gap))
+    covered = defaultdict(set)
+    for r in passages.repeats(spark.createDataFrame(rows, DOCS)).collect():
+        assert r.edits <= 0.2 * (r.end - r.start)
+        covered[r.doc_id] |= set(range(r.start, r.end))
+    assert all(want[i] <= covered[i] for i in want)
+
+
 def exact(vectors, queries_, k):
     out = {}
     for q in queries_:
