@@ -160,6 +160,23 @@ def test_passages_apart_in_both_texts(spark):
     assert all(want[i] <= covered[i] for i in want)
 
 
+def test_passages_of_common_sentences(spark):
+    """Two documents that alone share a run of three sentences meet, though each sentence is in many others."""
+    rng = random.Random(9)
+    stock = [" ".join(f"s{k}w{rng.randrange(10**6)}" for _ in range(20)) for k in range(60)]
+    rows, planted = [], {}
+    for i in range(400):
+        rows.append((i, " ".join(rng.sample(stock, 8))))
+    for k in range(20):
+        run = " ".join(rng.sample(stock, 3))
+        for i in (1000 + 2 * k, 1001 + 2 * k):
+            own = [f"o{i}x{j}" for j in range(60)]
+            rows.append((i, " ".join([*own[:30], run, *own[30:]])))
+            planted[i] = i ^ 1
+    got = {(r.doc_id, r.other_id) for r in passages.repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all((a, b) in got for a, b in planted.items())
+
+
 def exact(vectors, queries_, k):
     out = {}
     for q in queries_:
