@@ -177,6 +177,27 @@ def test_passages_of_common_sentences(spark):
     assert all((a, b) in got for a, b in planted.items())
 
 
+def test_passages_with_edits_up_to_the_limit(spark):
+    """Recall of isolated pairs with 60 shared words, by the number of substitutions."""
+    rng = random.Random(10)
+    rows, found = [], Counter()
+    for n, edited in enumerate((6, 9, 12)):
+        for k in range(100):
+            base = [f"b{rng.randrange(10**7)}" for _ in range(60)]
+            other = list(base)
+            for j in rng.sample(range(60), edited):
+                other[j] = f"e{rng.randrange(10**7)}"
+            for c, part in enumerate((base, other)):
+                own = [f"o{rng.randrange(10**7)}" for _ in range(80)]
+                rows.append((1000 * n + 2 * k + c, " ".join([*own[:40], *part, *own[40:]])))
+    pairs = {(r.doc_id, r.other_id) for r in passages.repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    for a, b in pairs:
+        assert a ^ 1 == b
+        found[a // 1000] += a < b
+    print(found)
+    assert found[0] >= 98 and found[1] >= 95 and found[2] >= 75
+
+
 def exact(vectors, queries_, k):
     out = {}
     for q in queries_:
