@@ -7,11 +7,10 @@ takes similar content in a similar order. Documents of equal words are one
 before anything is compared. In a bucket of candidates every document meets the
 bucket's hub only, the document that shares buckets with the most others. Where
 that leaves a bucket's documents in more than one class, documents that agree in
-two sketches are compared across classes, if they are at most GROUP; of larger
-groups those that agree in three, and where even those are more than GROUP, each
-with the hub. So a document has a bounded number of partners in a bucket, and a
-link is missed only if its documents agree in fewer than two sketches, or lie in
-groups of more than GROUP by every three and the hub is like neither. Pairs are verified by the Jaccard similarity of their k-mers and by
+two sketches are compared across classes, if they are at most GROUP. The
+documents of larger groups are joined exactly, by prefix filtering of their
+k-mers, again across classes. So a link is missed only if its documents agree in
+fewer than two sketches and are not both in such groups. Pairs are verified by the Jaccard similarity of their k-mers and by
 the distance of a banded alignment of their words; both must reach SIMILARITY.
 Classes are the connected components of verified links.
 
@@ -40,7 +39,7 @@ from cartulary.llm.words import hash_words, mix, shingles
 from cartulary.session import cut, ship
 
 K, SKETCHES, SIMILARITY = 5, 8, 0.8
-#: Documents of a bucket that are compared with each other; larger buckets are split first.
+#: Documents of a group that are compared with each other; those of larger groups are joined by their k-mers.
 GROUP = 32
 SLICE_BYTES = 1 << 20
 #: Cells of alignment bands that are filled at once.
@@ -243,19 +242,50 @@ def links(reps: DataFrame) -> DataFrame:
     named = cut(live.select("doc_id", "key").join(label, "doc_id", "left").select("doc_id", "key", F.coalesce("component", "doc_id").alias("label")), "labels")
     open_ = known.join(mixed(named).select("doc_id", "label").distinct(), "doc_id")
     open_ = cut(open_, "open")
-    tried = first
-    for width in (2, 3):  # sketches that must agree
-        keys = cut(mixed(sized(open_.select("doc_id", "label", F.explode(combined(width)).alias("key")))), "keys")
-        few = keys.where(F.col("n") <= GROUP)
-        a, b = few.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la")), few.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-        pairs = a.join(b, "key").where("a < b AND la <> lb").select("a", "b").distinct()
-        if width == 3:
-            pairs = pairs.unionAll(hub_pairs(keys.where(F.col("n") > GROUP), degree)).distinct()
-        new = cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = found.unionAll(cut(verify(new, reps), "found"))
-        tried = tried.unionAll(new)
-        open_ = open_.join(keys.where(F.col("n") > GROUP).select("doc_id").distinct(), "doc_id", "left_semi")
-    return found
+    keys = cut(mixed(sized(open_.select("doc_id", "label", F.explode(combined(2)).alias("key")))), "keys")
+    few, crowd = keys.where(F.col("n") <= GROUP), keys.where(F.col("n") > GROUP)
+    a, b = few.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la")), few.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
+    pairs = a.join(b, "key").where("a < b AND la <> lb").select("a", "b").distinct()
+    new = cut(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
+    found = found.unionAll(cut(verify(new, reps), "found"))
+    crowd = cut(crowd.select("doc_id", "label").distinct(), "crowd")
+    if crowd.isEmpty():
+        return found
+    rest = cut(prefix_pairs(reps.join(crowd, "doc_id").select("doc_id", "label", "words")).join(first.unionAll(new), ["a", "b"], "left_anti"), "pairs")
+    return found.unionAll(cut(verify(rest, reps), "found"))
+
+
+def prefix_pairs(docs: DataFrame) -> DataFrame:
+    """All pairs (a < b) of different labels that can reach SIMILARITY in their k-mers. docs: doc_id, label, words.
+
+    With k-mers in one order, rare ones first, two documents of that Jaccard similarity share one of the first
+    size - ceil(SIMILARITY * size) + 1 of both, and where they first meet enough must be left to both.
+    """
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [np.unique(shingles(np.frombuffer(w.as_buffer(), np.uint32).astype(np.uint64), K)) for w in batch.column("words")]
+            counts = np.array([len(g) for g in grams], np.int64)
+            flat = np.concatenate([*grams, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), as_lists(flat, counts, pa.int64())], ["doc_id", "label", "grams"])
+
+    own = cut(docs.mapInArrow(run, "doc_id long, label long, grams array<long>").where(F.size("grams") > 0), "grams")
+    each = own.select("doc_id", F.explode("grams").alias("g"))
+    often = cut(each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    # k-mers of one document come first and meet nothing, so only their number counts
+    ranked = each.join(often, "g").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("r"))
+    sizes = own.select("doc_id", "label", F.size("grams").alias("size"))
+    at = F.col("size") - F.size("r")
+    long = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1
+    heads = sizes.join(ranked, "doc_id").select("doc_id", "label", "size", at.alias("alone"), F.slice("r", F.lit(1), F.greatest(F.lit(0), (long - at).cast("int"))).alias("r"))
+    heads = cut(heads.select("doc_id", "label", "size", "alone", F.posexplode("r").alias("pos", "k")).select("doc_id", "label", "size", (F.col("size") - F.col("alone") - F.col("pos")).alias("left"), F.col("k.g").alias("g")), "heads")
+    a, b = (heads.select("g", F.col("doc_id").alias(x), F.col("label").alias(f"l{x}"), F.col("size").alias(f"s{x}"), F.col("left").alias(f"r{x}")) for x in "ab")
+    near = F.least("sa", "sb") >= SIMILARITY * F.greatest("sa", "sb") - 1e-9
+    met = a.join(b, "g").where("a < b AND la <> lb").where(near)
+    # the first k-mer that two documents share leaves the most to both
+    most = met.groupBy("a", "b", "sa", "sb").agg(F.max(F.least("ra", "rb")).alias("most"))
+    return most.where(F.col("most") >= SIMILARITY / (1 + SIMILARITY) * (F.col("sa") + F.col("sb")) - 1e-6).select("a", "b")
 
 
 def sized(keys: DataFrame) -> DataFrame:

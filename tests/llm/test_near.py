@@ -98,6 +98,26 @@ def test_near_duplicates_in_groups_and_cases(spark):
     assert omh.classes(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_near_pairs_in_a_large_family(spark):
+    """Every pair of copies in a family that shares most of its text, but less than the limit, is found."""
+    rng = random.Random(11)
+    base = [f"t{rng.randrange(10**7)}" for _ in range(300)]
+    rows = []
+    for k in range(150):
+        own, at = list(base), rng.sample(range(10), 2)
+        for c in at:  # a run of own words in two of ten places
+            own[30 * c : 30 * c + 15] = [f"p{rng.randrange(10**7)}" for _ in range(15)]
+        for c in range(2):
+            copy = list(own)
+            for j in rng.sample(range(300), 3):
+                copy[j] = f"c{rng.randrange(10**7)}"
+            rows.append((2 * k + c, " ".join(copy)))
+    want = near_classes(rows)
+    assert len(set(want.values())) > 50
+    got = {r.doc_id: r.class_id for r in omh.classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want
+
+
 def test_chains_keep_order():
     xs, ys = np.array([1, 5, 9, 30, 31, 32, 9, 200]), np.array([101, 105, 109, 3, 4, 5, 400, 300])
     assert sorted(passages.chains(xs, ys)) == [(1, 9, 101, 109), (30, 32, 3, 5)]
