@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,6 +117,10 @@ def random_with_replacement(features: DataFrame, k: int, seed: int = 42) -> Data
 
     near = hashed.withColumn("b", bucket(F.col("h"))).join(F.broadcast(picks.withColumn("b", bucket(F.col("p")))), "b").where("h >= p")
     first = near.groupBy("pick").agg(F.min_by("fid", "h").alias("fid"))
-    rest = picks.join(first, "pick", "left")
-    fallback = hashed.agg(F.min_by("fid", "h").alias("f"))
-    return rest.crossJoin(F.broadcast(fallback)).select("pick", F.coalesce("fid", "f").alias("fid"))  # one row
+    # a pick beyond its bucket's last hash goes on to the next bucket that holds any, and from the end to the first
+    least = hashed.groupBy(bucket(F.col("h")).alias("b")).agg(F.min_by("fid", "h").alias("fid")).orderBy("b").collect()  # at most 1 << 16 rows
+    held, kept = [r.b for r in least], [r.fid for r in least]
+    following = [(b, kept[bisect_right(held, b) % len(kept)] if kept else None) for b in range(buckets + 1)]
+    after = spark.createDataFrame(following, "b long, f long")
+    rest = picks.withColumn("b", bucket(F.col("p"))).join(first, "pick", "left").join(F.broadcast(after), "b", "left")
+    return rest.select("pick", F.coalesce("fid", "f").alias("fid"))

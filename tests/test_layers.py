@@ -250,3 +250,14 @@ def test_window_counts(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_type")
     batch = append.counts_by_window(events, "ts", "event_type")
     assert sum(r.n for r in batch.collect()) == events.count()
+
+
+def test_picks_follow_the_circle_of_hashes(spark):
+    from bisect import bisect_left
+
+    for n, k in ((400, 1000), (3, 50)):
+        features = spark.range(n).select(F.col("id").alias("fid"))
+        circle = sorted((r.h, r.fid) for r in features.select(F.xxhash64("fid", F.lit(42)).alias("h"), "fid").collect())
+        asked = {r.id: r.p for r in spark.range(k).select("id", F.xxhash64("id", F.lit(43)).alias("p")).collect()}
+        want = {i: circle[bisect_left(circle, (p, -1)) % n][1] for i, p in asked.items()}
+        assert {r.pick: r.fid for r in store.random_with_replacement(features, k).collect()} == want
