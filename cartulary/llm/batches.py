@@ -1,4 +1,4 @@
-"""Helpers for Arrow batches: slices of bounded size, and flat views of list and string columns."""
+"""Helpers for columns and Arrow batches: ids, free names, slices of bounded size, flat views of list and string columns."""
 
 from __future__ import annotations
 
@@ -7,12 +7,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 2 << 20
 
 
+def numbered(df: DataFrame, name: str) -> Column:
+    """An id column as long; ids that are no integers are refused before anything runs."""
+    kind = df.select(f"`{name}`").schema[0].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"{name} must hold integers, not {kind}")
+    return F.col(f"`{name}`").cast("long")
+
+
+def free(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Let Spark hand Arrow batches to Python that are bounded in bytes and not only in rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

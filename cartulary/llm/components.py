@@ -1,7 +1,8 @@
 """Connected components of links, by alternating large-star and small-star steps in DataFrame operations.
 
-Each step only needs the least neighbour of a node, a partial aggregate, so a
-node with very many links is no hot group. Every round is written to the shared
+Each step only needs the least neighbour of a node, a partial aggregate. Where
+there are MANY links it is written and read plainly, so that Spark may split the
+links of a node with very many of them. Every round is written to the shared
 folder; rounds end when the links no longer change.
 """
 
@@ -13,24 +14,27 @@ from pyspark.sql import functions as F
 from cartulary.session import cut
 
 
+#: Links from which the least neighbours are written before they are joined.
+MANY = 200_000
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (its smallest node) of every node that has a link to another node. No links give no rows."""
     low, high = F.least(a, b), F.greatest(a, b)
     edges = cut(links.where(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")).distinct(), "links")
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     seen = None
     while True:
+        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
+        if state == seen or not state[0]:
+            return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionAll(
+                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            )
+        seen = state
+        settled = (lambda df: cut(df, "least")) if state[0] > MANY else (lambda df: df)
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = settled(large.where("u <> v").distinct())
+        least = settled(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if tuple(state) == seen:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionAll(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        seen = tuple(state)

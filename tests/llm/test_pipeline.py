@@ -39,8 +39,7 @@ def without_repeats(rows):
             kept.append(x)
             if x.strip(" "):
                 seen.add(label[x])
-        text = "\n".join(kept)
-        out[i] = text if len(text) >= lines.LEAST_KEPT * len(t) else t
+        out[i] = "\n".join(kept)
     return out | {i: None for i, t in rows if t is None}
 
 
