@@ -119,8 +119,63 @@ def test_near_pairs_in_a_large_family(spark):
 
 
 def test_chains_keep_order():
-    xs, ys = np.array([1, 5, 9, 30, 31, 32, 9, 200]), np.array([101, 105, 109, 3, 4, 5, 400, 300])
-    assert sorted(passages.chains(xs, ys)) == [(1, 9, 101, 109), (30, 32, 3, 5)]
+    xs, ys = np.array([1, 5, 9, 9, 30, 31, 32, 200]), np.array([101, 105, 109, 400, 3, 4, 5, 300])
+    found = [[(int(xs[j]), int(ys[j])) for j in chain] for chain in passages.linked(xs, ys, xs, ys)]
+    assert [(1, 101), (5, 105), (9, 109)] in found and [(30, 3), (31, 4), (32, 5)] in found
+    assert sorted(p for c in found for p in c) == sorted(zip(xs.tolist(), ys.tolist(), strict=True))
+
+
+def test_seeds_do_not_depend_on_what_stands_around():
+    rng = np.random.default_rng(1)
+    shared = rng.integers(1 << 63, 1 << 64, 300, dtype=np.uint64)
+    alone = set(shared[passages.picked(shared, np.array([0, 300]))].tolist())
+    around = np.concatenate([rng.integers(0, 1 << 62, 40, dtype=np.uint64), shared, rng.integers(0, 1 << 62, 9, dtype=np.uint64)])
+    there = set(around[passages.picked(around, np.array([0, 349]))].tolist())
+    assert alone <= there and len(alone) >= 300 // passages.WINDOW  # none is below the share, so all are minimizers
+    assert passages.picked(np.zeros(0, np.uint64), np.array([0, 0])).tolist() == []
+
+
+def test_passage_whose_halves_stand_elsewhere(spark):
+    """Documents that alone share a passage meet, though its halves are in thirty others each."""
+    rng = random.Random(21)
+    rows, pairs = [], []
+    for g in range(12):
+        halves = [[f"g{g}h{h}w{k}" for k in range(30)] for h in range(2)]
+        at = 1000 * g
+        for c in range(62):
+            own = [f"o{at + c}x{k}" for k in range(80)]
+            part = halves[0] + halves[1] if c < 2 else halves[c % 2]
+            cut = rng.randrange(80)
+            rows.append((at + c, " ".join(own[:cut] + part + own[cut:])))
+        pairs.append((at, at + 1))
+    got = {(r.doc_id, r.other_id) for r in passages.repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {p for a, b in pairs for p in ((a, b), (b, a))}
+
+
+def test_recall_by_edit_rate(spark):
+    """Copies of 80 words with one word in n replaced: documents found."""
+    rng = random.Random(31)
+    rows, kind = [], {}
+    for n in (25, 15, 10, 7):
+        for g in range(60):
+            base = [f"n{n}g{g}w{rng.randrange(10**6)}" for _ in range(80)]
+            other = [f"e{n}x{g}y{k}" if k % n == n // 2 else w for k, w in enumerate(base)]
+            for part in (base, other):
+                i = len(rows)
+                own = [f"o{i}x{k}" for k in range(100)]
+                rows.append((i, " ".join(own[:50] + part + own[50:])))
+                kind[i] = n
+    got = {r.doc_id for r in passages.repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    recall = {n: sum(kind[i] == n for i in got) / 120 for n in (25, 15, 10, 7)}
+    assert min(recall.values()) >= 0.9 and recall[25] == recall[15] == 1, recall
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    shared, other = " ".join(f"s{k}" for k in range(60)), " ".join(f"t{k}" for k in range(60))
+    rows = [(1, f"a b c {shared}"), (1, f"{other} d e f"), (2, f"x y {shared} z"), (3, f"q {other} r")]
+    got = {(r.doc_id, r.other_id) for r in passages.repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {(1, 2), (2, 1), (1, 3), (3, 1)}
+    assert passages.repeats(spark.createDataFrame([(1, f"a {shared}"), (1, f"{shared} b")], DOCS)).collect() == []
 
 
 def test_passages_on_tables(spark, sf):
