@@ -11,7 +11,9 @@ score are then ranked by exact inner products in double precision.
 Queries are taken in blocks of bounded size; each block meets the rows' codes
 where they lie, every batch of rows gives its k best of a shortlist, and a window
 over a query's few rows merges them, so no task holds more than a block of
-queries and a batch of rows. Ties go to the smaller id throughout, and the rank that a shortlist ends
+queries and a batch of rows. As a shortlist is taken of each batch, which rows
+are ranked exactly depends on how rows lie in batches, and a table of few rows is
+ranked exactly as a whole. Ties go to the smaller id throughout, and the rank that a shortlist ends
 with is widened to all its ties.
 
 Defined cases: vectors that are null, of the wrong length, all zero or hold a
@@ -156,6 +158,9 @@ def search(rows: DataFrame, books: Codebooks | None, dim: int, queries: DataFram
         vectors = matrix(block["v"].combine_chunks(), dim)
         shared = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), vectors, books.tables(vectors.astype(np.float32))))
         part = _block(rows, shared, dim, k, wide)
+        if blocks > 1:  # one after the other, so that one block is held at a time
+            part = cut(part, "block")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

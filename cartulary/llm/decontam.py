@@ -35,7 +35,7 @@ WINDOW = 13
 SAMPLE = 8
 #: Bytes of text in a shard, and of benchmark text that is broadcast at once; a larger benchmark takes more passes.
 SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: A document is contaminated if one word in so many is hit.
 SHARE = 20
 
@@ -52,17 +52,23 @@ class Phrases:
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text or "")]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.lens = np.array([len(p) for p in owners], np.int64)
-        self.symbols = np.zeros((len(owners), window), np.int64)
-        for row, p in enumerate(owners):
-            self.symbols[row, : len(p)] = p
-        self.items = [sorted(x) for x in owners.values()]
-        self.shortest = int(self.lens.min()) if len(owners) else 0
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text or "")], np.int32)
+            if len(ids):
+                short = np.pad(ids, (0, max(0, window - len(ids))))  # 0 is no word
+                rows.append(np.lib.stride_tricks.sliding_window_view(short, window))
+                owners.append(np.full(len(rows[-1]), item))
+        self.symbols, own = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lens = (self.symbols > 0).sum(1)
+        pairs = np.unique(np.stack([own.ravel(), np.concatenate(owners)], 1), axis=0)
+        self.item_ids = pairs[:, 1]
+        self.item_starts = np.searchsorted(pairs[:, 0], np.arange(len(self.symbols) + 1))
+        self.shortest = int(self.lens.min()) if len(self.lens) else 0
+
+    def items(self, window: int) -> list[int]:
+        """The items that hold a window."""
+        return self.item_ids[self.item_starts[window] : self.item_starts[window + 1]].tolist()
 
 
 def suffix_array(ranks: np.ndarray) -> np.ndarray:
@@ -221,7 +227,7 @@ def judge(texts: list[str], phrases: Phrases) -> list[tuple[int, list[tuple[int,
             own[-1] = (own[-1][0], max(b, own[-1][1]))
         else:
             own.append((a, b))
-        items.setdefault(d, set()).update(phrases.items[p])
+        items.setdefault(d, set()).update(phrases.items(p))
     return [(n, spans.get(i, []), sorted(items.get(i, ()))) for i, n in enumerate(n_words.tolist())]
 
 

@@ -4,8 +4,8 @@ Host edges come from the hyperlinks of pages, counted per pair of hosts before
 they are joined, so a host with a third of all pages is one row per neighbour.
 Personalised PageRank spreads trust from the hosts most of whose pages the rules
 allow along links; distrust starts at the hosts most of whose pages the rules
-block and runs against the links: who links to the distrusted is distrusted. A
-host is blocked where its distrust exceeds its trust by more than a threshold.
+block and runs against the links: who links to the distrusted is distrusted.
+Rounds go on until ranks settle. A host is blocked where its distrust exceeds its trust by more than a threshold.
 
 Defined cases: a null url or one without "://" has an empty host and path, fits
 no rule and is allowed; null or empty html has no links; links to the own host
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from cartulary.session import cut
 
+#: The sum of what a round moves at which ranks count as settled; all ranks sum to 1.
+ERROR = 1e-6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,17 +69,23 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """Personalised PageRank: host and rank. edges: src, dst, share (of src's weight); seeds: host, weight, summing to 1."""
-    rank = seeds.select("host", F.col("weight").alias("rank"))
-    for i in range(rounds):
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float, error: float) -> DataFrame:
+    """Personalised PageRank: host and rank, once a round moves no more than error in all. edges: src, dst, share (of src's weight); seeds: host, weight, summing to 1.
+
+    Each round moves at most damping times as much as the one before, so rounds end.
+    """
+    rank, moving = seeds.select("host", F.col("weight").alias("rank")), error + 1
+    while moving > error:
+        before = rank
         moved = edges.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
         held = seeds.select("host", (F.col("weight") * (1 - damping)).alias("rank"))
         rank = cut(moved.unionAll(held).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
+        step = rank.unionAll(before.select("host", -F.col("rank"))).groupBy("host").agg(F.abs(F.sum("rank")).alias("d"))
+        moving = step.agg(F.sum("d").alias("d")).head().d or 0.0
     return rank
 
 
-def host_scores(pages: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def host_scores(pages: DataFrame, damping: float = 0.85, error: float = ERROR) -> DataFrame:
     """host, trust and distrust of hosts that the link graph reaches. pages: host, html, verdict (of the rule or null)."""
     edges = cut(host_edges(pages), "edges")
     judged = pages.where("host <> ''").groupBy("host").agg(
@@ -93,7 +101,7 @@ def host_scores(pages: DataFrame, damping: float = 0.85, rounds: int = 12) -> Da
         if linked:
             sums = edges.groupBy(a).agg(F.sum("n").alias("total"))
             ways = cut(edges.join(sums, a).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("n") / F.col("total")).alias("share")), "ways")
-            rank = propagate(ways, seeds, damping, rounds)
+            rank = propagate(ways, seeds, damping, error)
         out.append(rank.withColumnRenamed("rank", kind))
     both = out[0].join(out[1], "host", "full_outer")
     return both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

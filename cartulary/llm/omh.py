@@ -1,7 +1,7 @@
 """Near-duplicate documents by Order MinHash.
 
 A document's k-mers of words are labelled with their occurrence number. Under
-each of SKETCHES hash functions its ELLS smallest labelled k-mers are kept in
+each of SKETCHES hash functions its two smallest labelled k-mers are kept in
 text order; documents that agree in one such sequence are candidates, which
 takes similar content in a similar order. Documents of equal words are one
 before anything is compared. In a bucket of candidates every document meets the
@@ -19,8 +19,9 @@ one of 8 with 0.9997 and in two with 0.99.
 
 Defined cases: documents without words (null and empty texts too) are classes of
 their own; documents of fewer than K words have no k-mers and match only equal
-words; repeated rows share a class; a null doc_id is no document; no documents
-give no rows; ties in class and leader go to the smaller doc_id.
+words; repeated rows share a class; of rows of one doc_id with different texts each
+is in the class of its own text; a null doc_id is no document, other ids must be
+integers; no documents give no rows; a class is named by its smallest doc_id.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.batches import as_lists, bound_batches, pieces, texts_of
+from cartulary.llm.batches import as_lists, bound_batches, free, numbered, pieces, texts_of
 from cartulary.llm.components import components
 from cartulary.llm.words import hash_words, mix, shingles
 from cartulary.session import cut, ship
@@ -91,7 +92,7 @@ def sketch(kmers: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, same (hash of all words; 0 if none), sketch (array of bucket values) and words (packed 32-bit hashes), as a table."""
+    """doc_id, t (hash of the row's text), same (hash of all words; 0 if none), sketch (array of bucket values) and words (packed 32-bit hashes), as a table."""
     ship(docs.sparkSession)
     bound_batches(docs.sparkSession)
 
@@ -115,15 +116,16 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
+                        batch.column("t"),
                         pa.array(same.view(np.int64)),
                         as_lists(values[has].view(np.int64).ravel(), np.where(has, SKETCHES, 0), pa.int64()),
                         pa.array(words, pa.binary()),
                     ],
-                    ["doc_id", "same", "sketch", "words"],
+                    ["doc_id", "t", "same", "sketch", "words"],
                 )
 
-    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL")
-    return cut(own.mapInArrow(run, "doc_id long, same long, sketch array<long>, words binary"), "sketches")
+    own = docs.select(numbered(docs, doc_id).alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL")
+    return cut(own.mapInArrow(run, "doc_id long, t long, same long, sketch array<long>, words binary"), "sketches")
 
 
 def distances(left: list[np.ndarray], right: list[np.ndarray], most: np.ndarray) -> np.ndarray:
@@ -242,7 +244,7 @@ def links(reps: DataFrame) -> DataFrame:
     named = cut(live.select("doc_id", "key").join(label, "doc_id", "left").select("doc_id", "key", F.coalesce("component", "doc_id").alias("label")), "labels")
     open_ = known.join(mixed(named).select("doc_id", "label").distinct(), "doc_id")
     open_ = cut(open_, "open")
-    keys = cut(mixed(sized(open_.select("doc_id", "label", F.explode(combined(2)).alias("key")))), "keys")
+    keys = cut(mixed(sized(cut(open_.select("doc_id", "label", F.explode(combined(2)).alias("key")), "twos"))), "keys")
     few, crowd = keys.where(F.col("n") <= GROUP), keys.where(F.col("n") > GROUP)
     a, b = few.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la")), few.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
     pairs = a.join(b, "key").where("a < b AND la <> lb").select("a", "b").distinct()
@@ -290,12 +292,14 @@ def prefix_pairs(docs: DataFrame) -> DataFrame:
 
 def sized(keys: DataFrame) -> DataFrame:
     """keys with the number n of their key's rows, where there are two or more."""
-    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    counts = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")  # read plainly, so that Spark may split a very common key
+    return keys.join(counts, "key")
 
 
 def mixed(keys: DataFrame) -> DataFrame:
     """Rows whose key has documents of more than one label."""
-    return keys.join(keys.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key"), "key", "left_semi")
+    several = cut(keys.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key"), "several")
+    return keys.join(several, "key", "left_semi")
 
 
 def combined(width: int):
@@ -306,30 +310,35 @@ def combined(width: int):
 def hub_pairs(keys: DataFrame, degree: DataFrame) -> DataFrame:
     """Each document with its key's hub, the one of largest degree (of those the smallest id), as a < b."""
     ranked = keys.select("doc_id", "key").join(degree, "doc_id")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("m"))).alias("hub")).select("key", (-F.col("hub.m")).alias("hub"))
+    hubs = cut(ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("m"))).alias("hub")).select("key", (-F.col("hub.m")).alias("hub")), "hubs")
     met = keys.select("doc_id", "key").join(hubs, "key").where("doc_id <> hub")
     return met.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class) and n_links (verified links of its words to other words)."""
+def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, t (hash of the row's text), class_id and n_links of every row whose doc_id is not null."""
     table = sketches(docs, doc_id, text)
-    word_class = cut(table.where("same <> 0").groupBy("same").agg(F.min("doc_id").alias("rep")), "word_class")  # read plainly, so that Spark may split the rows of a text with very many copies
-    first = table.where("same <> 0").groupBy("doc_id").agg(F.min("same").alias("same"))  # one text of each id
-    member = cut(first.join(word_class, "same").select("doc_id", "rep"), "member")
-    lone = member.where("doc_id = rep").select("doc_id")
-    reps = table.join(lone, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sketch", "words")
-    reps = cut(reps, "reps")
+    first = cut(table.where("same <> 0").groupBy("same").agg(F.min("doc_id").alias("rep")), "first")  # read plainly, so that Spark may split the rows of a text with very many copies
+    reps = table.where("same <> 0").dropDuplicates(["same"]).select(F.col("same").alias("doc_id"), "sketch", "words")
+    reps = cut(reps, "reps")  # from here on a text's words are its id
     found = cut(links(reps), "links")
-    groups = components(found).select(F.col("node").alias("rep"), F.col("component"))
-    ends = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    whole = member.join(groups, "rep", "left").join(ends, "rep", "left")
-    known = whole.select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    ids = table.select("doc_id")
-    return ids.join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    groups = components(found).select(F.col("node").alias("same"), "component")
+    named = groups.join(first, "same").groupBy("component").agg(F.min("rep").alias("class_id"))
+    ends = found.select(F.col("a").alias("same")).unionAll(found.select(F.col("b").alias("same"))).groupBy("same").agg(F.count("*").alias("n_links"))
+    near = cut(groups.join(named, "component").join(ends, "same").select("same", "class_id", "n_links"), "near")
+    known = cut(first.join(near, "same", "left").select("same", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "known")
+    rows = table.select("doc_id", "t", "same").join(known, "same", "left")
+    return rows.select("doc_id", "t", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id (the smallest doc_id of its class) and n_links (verified links of its words to other words)."""
+    return text_classes(docs, doc_id, text).drop("t")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, without those whose class has a smaller doc_id; rows of null doc_id stay."""
-    dropped = classes(docs, doc_id, text).where("class_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(dropped, doc_id, "left_anti").select(docs.columns)
+    own_id, own_t = free(docs, "own_id"), free(docs, "own_t")
+    dropped = text_classes(docs, doc_id, text).where("class_id < doc_id").select(F.col("doc_id").alias(own_id), F.col("t").alias(own_t)).distinct()
+    gone = (numbered(docs, doc_id) == F.col(own_id)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(own_t))
+    return docs.join(dropped, gone, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])

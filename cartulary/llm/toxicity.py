@@ -40,7 +40,7 @@ from cartulary.session import cut, ship
 SAMPLE_ROWS = 4000
 STEM_CHARS = range(3, 13)
 #: Evidence that an entry needs (log-likelihood ratio) and the share of toxic among its rows at equal priors.
-LEAST_G2, LEAST_SHARE, MOST_CANDIDATES = 18.0, 0.95, 20_000
+LEAST_G2, LEAST_SHARE = 18.0, 0.95
 
 # Digits and signs that stand for letters. 1 and | stand for i and for l, so l folds to i as well.
 DIGITS = {"l": "i", "L": "i", "|": "i", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def counted(part: DataFrame, chosen: frozenset[str] | None, least: int) -> dict[str, int]:
         sums = part.select("text").mapInArrow(count(chosen), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        return {r.stem: r.n for r in sums.orderBy(F.desc("n"), F.length("stem"), "stem").limit(MOST_CANDIDATES).collect()}
+        return {r.stem: r.n for r in sums.collect()}  # bounded by the sample
 
     # an entry can reach LEAST_G2 only with so many toxic rows
     least = math.ceil(LEAST_G2 / (2 * math.log((n_toxic + n_clean) / n_toxic)))

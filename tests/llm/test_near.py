@@ -98,6 +98,15 @@ def test_near_duplicates_in_groups_and_cases(spark):
     assert omh.classes(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_near_rows_of_one_id_with_different_texts(spark):
+    one, two = " ".join(f"s{k}" for k in range(60)), " ".join(f"t{k}" for k in range(60))
+    rows = [(0, one), (1, one), (1, two), (2, f"{two} more"), (3, "alone among all others here"), (3, "and its second row of text")]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted((r.doc_id, r.class_id) for r in omh.classes(docs).collect()) == [(0, 0), (1, 0), (1, 1), (2, 1), (3, 3), (3, 3)]
+    kept = sorted((r.doc_id, r.text) for r in omh.keep_first(docs).collect())
+    assert kept == sorted([rows[0], rows[2], rows[4], rows[5]])
+
+
 def test_near_pairs_in_a_large_family(spark):
     """Every pair of copies in a family that shares most of its text, but less than the limit, is found."""
     rng = random.Random(11)
