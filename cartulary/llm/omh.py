@@ -284,10 +284,9 @@ def prefix_pairs(docs: DataFrame) -> DataFrame:
     heads = cut(heads.select("doc_id", "label", "size", "alone", F.posexplode("r").alias("pos", "k")).select("doc_id", "label", "size", (F.col("size") - F.col("alone") - F.col("pos")).alias("left"), F.col("k.g").alias("g")), "heads")
     a, b = (heads.select("g", F.col("doc_id").alias(x), F.col("label").alias(f"l{x}"), F.col("size").alias(f"s{x}"), F.col("left").alias(f"r{x}")) for x in "ab")
     near = F.least("sa", "sb") >= SIMILARITY * F.greatest("sa", "sb") - 1e-9
-    met = a.join(b, "g").where("a < b AND la <> lb").where(near)
-    # the first k-mer that two documents share leaves the most to both
-    most = met.groupBy("a", "b", "sa", "sb").agg(F.max(F.least("ra", "rb")).alias("most"))
-    return most.where(F.col("most") >= SIMILARITY / (1 + SIMILARITY) * (F.col("sa") + F.col("sb")) - 1e-6).select("a", "b")
+    # the first k-mer that two documents share leaves enough to both, so places that leave less need not meet
+    enough = F.least("ra", "rb") >= SIMILARITY / (1 + SIMILARITY) * (F.col("sa") + F.col("sb")) - 1e-6
+    return a.join(b, "g").where("a < b AND la <> lb").where(near & enough).select("a", "b").distinct()
 
 
 def sized(keys: DataFrame) -> DataFrame:

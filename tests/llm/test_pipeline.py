@@ -30,8 +30,11 @@ def near_lines(distinct):
 
 def without_repeats(rows):
     distinct = {x for _, t in rows for x in (t or "").split("\n") if x.strip(" ")}
-    label, seen, out = groups(distinct, near_lines(distinct)), set(), {}
+    label, seen, out, whole = groups(distinct, near_lines(distinct)), set(), {}, {}
     for i, t in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
+        if t in whole:  # a copy keeps what the first one keeps
+            out[i] = whole[t]
+            continue
         kept = []
         for x in t.split("\n"):
             if x.strip(" ") and label[x] in seen:
@@ -39,7 +42,7 @@ def without_repeats(rows):
             kept.append(x)
             if x.strip(" "):
                 seen.add(label[x])
-        out[i] = "\n".join(kept)
+        out[i] = whole[t] = "\n".join(kept)
     return out | {i: None for i, t in rows if t is None}
 
 
