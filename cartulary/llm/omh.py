@@ -43,6 +43,8 @@ K, SKETCHES, SIMILARITY = 5, 8, 0.8
 #: Documents of a group that are compared with each other; those of larger groups are joined by their k-mers.
 GROUP = 32
 SLICE_BYTES = 1 << 20
+#: Slots in which k-mers of crowded groups are counted, to tell rare ones from common ones.
+SLOTS = 1 << 15
 #: Cells of alignment bands that are filled at once.
 CELLS = 1 << 17
 #: Words of one side that alignments hold at once.
@@ -257,31 +259,60 @@ def links(reps: DataFrame) -> DataFrame:
     return found.unionAll(cut(verify(rest, reps), "found"))
 
 
+def grams_of(words: pa.Array) -> list[np.ndarray]:
+    """The different k-mers of each text."""
+    return [np.unique(shingles(np.frombuffer(w.as_buffer(), np.uint32).astype(np.uint64), K)) for w in words]
+
+
+def slot_counts(docs: DataFrame) -> np.ndarray:
+    """How many k-mers of the texts fall into each of SLOTS slots of their hashes: sums per task, then of few tasks, so that little comes to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for g in grams_of(batch.column("words")):
+                sums += np.bincount((g % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column("n"):
+                sums += np.frombuffer(x.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["n"])
+
+    rows = docs.select("words").mapInArrow(count, "n binary").repartition(8).mapInArrow(add, "n binary").collect()
+    return sum((np.frombuffer(r.n, np.int64) for r in rows), np.zeros(SLOTS, np.int64))
+
+
 def prefix_pairs(docs: DataFrame) -> DataFrame:
     """All pairs (a < b) of different labels that can reach SIMILARITY in their k-mers. docs: doc_id, label, words.
 
-    With k-mers in one order, rare ones first, two documents of that Jaccard similarity share one of the first
+    With k-mers in one order, those of rare slots first, two documents of that Jaccard similarity share one of the first
     size - ceil(SIMILARITY * size) + 1 of both, and where they first meet enough must be left to both.
     """
     ship(docs.sparkSession)
+    docs = cut(docs, "crowd_words")
+    often = slot_counts(docs)  # any order gives the same pairs; this one lets few documents meet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [np.unique(shingles(np.frombuffer(w.as_buffer(), np.uint32).astype(np.uint64), K)) for w in batch.column("words")]
-            counts = np.array([len(g) for g in grams], np.int64)
-            flat = np.concatenate([*grams, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), as_lists(flat, counts, pa.int64())], ["doc_id", "label", "grams"])
-
-    own = cut(docs.mapInArrow(run, "doc_id long, label long, grams array<long>").where(F.size("grams") > 0), "grams")
-    each = own.select("doc_id", F.explode("grams").alias("g"))
-    often = cut(each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "often")
-    # k-mers of one document come first and meet nothing, so only their number counts
-    ranked = each.join(often, "g").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("r"))
-    sizes = own.select("doc_id", "label", F.size("grams").alias("size"))
-    at = F.col("size") - F.size("r")
-    long = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1
-    heads = sizes.join(ranked, "doc_id").select("doc_id", "label", "size", at.alias("alone"), F.slice("r", F.lit(1), F.greatest(F.lit(0), (long - at).cast("int"))).alias("r"))
-    heads = cut(heads.select("doc_id", "label", "size", "alone", F.posexplode("r").alias("pos", "k")).select("doc_id", "label", "size", (F.col("size") - F.col("alone") - F.col("pos")).alias("left"), F.col("k.g").alias("g")), "heads")
+            counts, left, flat = [], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+            for g in grams_of(batch.column("words")):
+                n = len(g)
+                head = n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1 if n else 0
+                flat.append(g[np.lexsort((g, often[(g % np.uint64(SLOTS)).astype(np.int64)]))][:head])
+                left.append(n - np.arange(head, dtype=np.int32))
+                counts.append((n, head))
+            n, head = np.array(counts, np.int64).reshape(-1, 2).T
+            own = np.repeat(np.arange(len(n)), head)
+            doc, label = (batch.column(c).to_numpy()[own] for c in ("doc_id", "label"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc), pa.array(label), pa.array(n[own].astype(np.int32)), pa.array(np.concatenate(left)), pa.array(np.concatenate(flat).view(np.int64))],
+                ["doc_id", "label", "size", "left", "g"],
+            )
+
+    heads = cut(docs.mapInArrow(run, "doc_id long, label long, size int, left int, g long"), "heads")
     a, b = (heads.select("g", F.col("doc_id").alias(x), F.col("label").alias(f"l{x}"), F.col("size").alias(f"s{x}"), F.col("left").alias(f"r{x}")) for x in "ab")
     near = F.least("sa", "sb") >= SIMILARITY * F.greatest("sa", "sb") - 1e-9
     # the first k-mer that two documents share leaves enough to both, so places that leave less need not meet
