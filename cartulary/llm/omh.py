@@ -8,8 +8,8 @@ before anything is compared. In a bucket of candidates every document meets the
 bucket's hub only, the document that shares buckets with the most others. Where
 that leaves a bucket's documents in more than one class, documents that agree in
 two sketches are compared across classes, if they are at most GROUP. The
-documents of larger groups are joined exactly, by prefix filtering of their
-k-mers, again across classes. So a link is missed only if its documents agree in
+documents of larger groups meet the group's hub and are then joined exactly, by
+prefix filtering of their k-mers, again across classes. So a link is missed only if its documents agree in
 fewer than two sketches and are not both in such groups. Pairs are verified by the Jaccard similarity of their k-mers and by
 the distance of a banded alignment of their words; both must reach SIMILARITY.
 Classes are the connected components of verified links.
@@ -249,10 +249,13 @@ def links(reps: DataFrame) -> DataFrame:
     keys = cut(mixed(sized(cut(open_.select("doc_id", "label", F.explode(combined(2)).alias("key")), "twos"))), "keys")
     few, crowd = keys.where(F.col("n") <= GROUP), keys.where(F.col("n") > GROUP)
     a, b = few.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la")), few.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-    pairs = a.join(b, "key").where("a < b AND la <> lb").select("a", "b").distinct()
+    pairs = a.join(b, "key").where("a < b AND la <> lb").select("a", "b")
+    pairs = pairs.unionAll(hub_pairs(crowd, degree)).distinct()
     new = cut(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
     found = found.unionAll(cut(verify(new, reps), "found"))
-    crowd = cut(crowd.select("doc_id", "label").distinct(), "crowd")
+    label = components(found).select(F.col("node").alias("doc_id"), "component")
+    named = cut(crowd.select("doc_id", "key").join(label, "doc_id", "left").select("doc_id", "key", F.coalesce("component", "doc_id").alias("label")), "labels")
+    crowd = cut(mixed(named).select("doc_id", "label").distinct(), "crowd")
     if crowd.isEmpty():
         return found
     rest = cut(prefix_pairs(reps.join(crowd, "doc_id").select("doc_id", "label", "words")).join(first.unionAll(new), ["a", "b"], "left_anti"), "pairs")
