@@ -9,8 +9,10 @@ bucket's hub only, the document that shares buckets with the most others. Where
 that leaves a bucket's documents in more than one class, documents that agree in
 two sketches are compared across classes, if they are at most GROUP. The
 documents of larger groups meet the group's hub and are then joined exactly, by
-prefix filtering of their k-mers, again across classes. So a link is missed only if its documents agree in
-fewer than two sketches and are not both in such groups. Pairs are verified by the Jaccard similarity of their k-mers and by
+prefix filtering of their k-mers: in rounds the documents of a k-mer meet in random
+parts and are labelled anew, until few pairs of different classes are left, and
+these are all compared. So a link is missed only if its documents agree in fewer than two
+sketches and are not both in such groups, or if it lies inside a class. Pairs are verified by the Jaccard similarity of their k-mers and by
 the distance of a banded alignment of their words; both must reach SIMILARITY.
 Classes are the connected components of verified links.
 
@@ -43,6 +45,11 @@ K, SKETCHES, SIMILARITY = 5, 8, 0.8
 #: Documents of a group that are compared with each other; those of larger groups are joined by their k-mers.
 GROUP = 32
 SLICE_BYTES = 1 << 20
+#: Rows of a crowded k-mer that meet in a round, about.
+PART = 128
+#: Pairs of different classes for each row of crowded k-mers that are listed without more rounds, and the share of them
+#: that a round may leave for another one to follow. No class depends on either.
+FEW, SLOW = 4, 0.75
 #: Slots in which k-mers of crowded groups are counted, to tell rare ones from common ones.
 SLOTS = 1 << 15
 #: Cells of alignment bands that are filled at once.
@@ -242,8 +249,7 @@ def links(reps: DataFrame) -> DataFrame:
     degree = cut(live.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degrees")
     first = cut(hub_pairs(live, degree), "pairs")
     found = cut(verify(first, reps), "found")
-    label = components(found).select(F.col("node").alias("doc_id"), "component")
-    named = cut(live.select("doc_id", "key").join(label, "doc_id", "left").select("doc_id", "key", F.coalesce("component", "doc_id").alias("label")), "labels")
+    named = cut(labelled(live.select("doc_id", "key"), found), "labels")
     open_ = known.join(mixed(named).select("doc_id", "label").distinct(), "doc_id")
     open_ = cut(open_, "open")
     keys = cut(mixed(sized(cut(open_.select("doc_id", "label", F.explode(combined(2)).alias("key")), "twos"))), "keys")
@@ -253,13 +259,10 @@ def links(reps: DataFrame) -> DataFrame:
     pairs = pairs.unionAll(hub_pairs(crowd, degree)).distinct()
     new = cut(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
     found = found.unionAll(cut(verify(new, reps), "found"))
-    label = components(found).select(F.col("node").alias("doc_id"), "component")
-    named = cut(crowd.select("doc_id", "key").join(label, "doc_id", "left").select("doc_id", "key", F.coalesce("component", "doc_id").alias("label")), "labels")
-    crowd = cut(mixed(named).select("doc_id", "label").distinct(), "crowd")
+    crowd = cut(mixed(cut(labelled(crowd.select("doc_id", "key"), found), "labels")).select("doc_id").distinct(), "crowd")
     if crowd.isEmpty():
         return found
-    rest = cut(prefix_pairs(reps.join(crowd, "doc_id").select("doc_id", "label", "words")).join(first.unionAll(new), ["a", "b"], "left_anti"), "pairs")
-    return found.unionAll(cut(verify(rest, reps), "found"))
+    return prefix_links(cut(reps.join(crowd, "doc_id").select("doc_id", "words"), "crowd_words"), found, first.unionAll(new))
 
 
 def grams_of(words: pa.Array) -> list[np.ndarray]:
@@ -288,14 +291,13 @@ def slot_counts(docs: DataFrame) -> np.ndarray:
     return sum((np.frombuffer(r.n, np.int64) for r in rows), np.zeros(SLOTS, np.int64))
 
 
-def prefix_pairs(docs: DataFrame) -> DataFrame:
-    """All pairs (a < b) of different labels that can reach SIMILARITY in their k-mers. docs: doc_id, label, words.
+def prefixes(docs: DataFrame) -> DataFrame:
+    """doc_id, size (number of k-mers), g (a k-mer) and left (k-mers from g on), for the first k-mers of each text, as a table. docs: doc_id, words.
 
-    With k-mers in one order, those of rare slots first, two documents of that Jaccard similarity share one of the first
+    With k-mers in one order, those of rare slots first, two documents whose k-mers reach SIMILARITY share one of the first
     size - ceil(SIMILARITY * size) + 1 of both, and where they first meet enough must be left to both.
     """
     ship(docs.sparkSession)
-    docs = cut(docs, "crowd_words")
     often = slot_counts(docs)  # any order gives the same pairs; this one lets few documents meet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,18 +311,61 @@ def prefix_pairs(docs: DataFrame) -> DataFrame:
                 counts.append((n, head))
             n, head = np.array(counts, np.int64).reshape(-1, 2).T
             own = np.repeat(np.arange(len(n)), head)
-            doc, label = (batch.column(c).to_numpy()[own] for c in ("doc_id", "label"))
+            doc = batch.column("doc_id").to_numpy()[own]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(label), pa.array(n[own].astype(np.int32)), pa.array(np.concatenate(left)), pa.array(np.concatenate(flat).view(np.int64))],
-                ["doc_id", "label", "size", "left", "g"],
+                [pa.array(doc), pa.array(n[own].astype(np.int32)), pa.array(np.concatenate(left)), pa.array(np.concatenate(flat).view(np.int64))],
+                ["doc_id", "size", "left", "g"],
             )
 
-    heads = cut(docs.mapInArrow(run, "doc_id long, label long, size int, left int, g long"), "heads")
-    a, b = (heads.select("g", F.col("doc_id").alias(x), F.col("label").alias(f"l{x}"), F.col("size").alias(f"s{x}"), F.col("left").alias(f"r{x}")) for x in "ab")
-    near = F.least("sa", "sb") >= SIMILARITY * F.greatest("sa", "sb") - 1e-9
+    return cut(docs.mapInArrow(run, "doc_id long, size int, left int, g long"), "prefixes")
+
+
+def labelled(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with label, the component of each document under the links found."""
+    named = components(found).select(F.col("node").alias("doc_id"), "component")
+    return docs.join(named, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+
+
+def meetings(left: DataFrame, right: DataFrame, by: list[str], tried: DataFrame) -> DataFrame:
+    """New pairs (a, b) of rows of equal `by` that differ in label and can be similar, as a table. Both: doc_id, label, size, left and by."""
+    x, y = (d.select(*by, *[F.col(c).alias(f"{c}{i}") for c in ("doc_id", "label", "size", "left")]) for i, d in enumerate((left, right)))
+    near = F.least("size0", "size1") >= SIMILARITY * F.greatest("size0", "size1") - 1e-9
     # the first k-mer that two documents share leaves enough to both, so places that leave less need not meet
-    enough = F.least("ra", "rb") >= SIMILARITY / (1 + SIMILARITY) * (F.col("sa") + F.col("sb")) - 1e-6
-    return a.join(b, "g").where("a < b AND la <> lb").where(near & enough).select("a", "b").distinct()
+    enough = F.least("left0", "left1") >= SIMILARITY / (1 + SIMILARITY) * (F.col("size0") + F.col("size1")) - 1e-6
+    met = x.join(y, by).where("label0 <> label1").where(near & enough)
+    pairs = met.select(F.least("doc_id0", "doc_id1").alias("a"), F.greatest("doc_id0", "doc_id1").alias("b")).distinct()
+    return cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+
+
+def prefix_links(docs: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
+    """found and links that join all classes whose documents are similar. docs: doc_id, words; tried: pairs (a, b) already verified.
+
+    Rows of one k-mer are dealt to parts of about PART at random, which only meet inside; what they link is one class in the next
+    round, with other parts. Once few pairs of different classes are left, or rounds no longer lower their number, all that are left are
+    listed: rows outside their k-mer's largest class meet all of the k-mer's rows. So rounds save pairs but decide no class.
+    """
+    rows, before, turn = prefixes(docs), None, 0
+    while True:
+        rows = cut(labelled(rows, found), "rows")
+        per = rows.groupBy("g", "label").agg(F.count("*").alias("n"))
+        square = F.sum(F.col("n").cast("double") * F.col("n")).alias("q")
+        main = F.max_by("label", F.struct("n", "label")).alias("main")
+        keys = per.groupBy("g").agg(F.sum("n").alias("t"), square, F.count("*").alias("labels"), main).where("labels > 1")
+        keys = cut(keys.select("g", "t", ((F.col("t").cast("double") * F.col("t") - F.col("q")) / 2).alias("pairs"), "main"), "keys")
+        sums = keys.agg(F.sum("t").alias("rows"), F.sum("pairs").alias("pairs")).head()
+        if not sums.rows:
+            return found
+        rows = cut(rows.join(keys.select("g", "t", "main"), "g"), "rows")
+        last = sums.pairs <= FEW * sums.rows or before is not None and sums.pairs > SLOW * before
+        if last:
+            new = meetings(rows.where("label <> main"), rows, ["g"], tried)
+        else:
+            dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "g", F.lit(turn)), F.ceil(F.col("t") / PART)))
+            new = meetings(dealt, dealt.where("label <> main"), ["g", "part"], tried)
+        found = found.unionAll(cut(verify(new, docs), "found"))
+        if last:
+            return found
+        tried, before, turn, rows = tried.unionAll(new), sums.pairs, turn + 1, rows.drop("label", "t", "main")
 
 
 def sized(keys: DataFrame) -> DataFrame:

@@ -127,6 +127,24 @@ def test_near_pairs_in_a_large_family(spark):
     assert got == want
 
 
+def test_near_rounds_in_crowds(spark, monkeypatch):
+    """Classes are those of all pairs, whatever the rounds have met before the rest is listed."""
+    rng = random.Random(12)
+    rows = []
+    for f in range(2):
+        base = " ".join(f"f{f}w{rng.randrange(10**7)}" for _ in range(100))
+        rows += [(1000 * f + i, replaced(rng, base, rng.randint(1, 4))) for i in range(90)]
+    want = near_classes(rows)
+    assert 10 < len(set(want.values())) < 170
+    docs = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(omh, "GROUP", 4)
+    for part, few, slow in ((8, 0, 0.999), (8, 0, 0.75), (128, 10**9, 0.75)):
+        monkeypatch.setattr(omh, "PART", part)
+        monkeypatch.setattr(omh, "FEW", few)
+        monkeypatch.setattr(omh, "SLOW", slow)
+        assert {r.doc_id: r.class_id for r in omh.classes(docs).collect()} == want
+
+
 def test_chains_keep_order():
     xs, ys = np.array([1, 5, 9, 9, 30, 31, 32, 200]), np.array([101, 105, 109, 400, 3, 4, 5, 300])
     found = [[(int(xs[j]), int(ys[j])) for j in chain] for chain in passages.linked(xs, ys, xs, ys)]
