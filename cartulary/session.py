@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import os
 import tempfile
 import uuid
@@ -20,6 +21,9 @@ DEFAULTS = {
 _shipped: set[str] = set()
 _own_dir: list[str] = []
 _scratch: dict[str, str] = {}
+#: Tables after which the driver's JVM is told to collect what nothing refers to any more: only then does Spark delete their shuffle files.
+CLEAN_EVERY = 12
+_tables = itertools.count(1)
 
 
 def get_spark(app: str = "cartulary", master: str | None = None, **conf: str) -> SparkSession:
@@ -81,4 +85,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends here, and losing executors loses nothing."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if next(_tables) % CLEAN_EVERY == 0:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
