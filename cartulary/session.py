@@ -7,7 +7,9 @@ import itertools
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,9 @@ _scratch: dict[str, str] = {}
 #: Tables after which the driver's JVM is told to collect what nothing refers to any more: only then does Spark delete their shuffle files.
 CLEAN_EVERY = 12
 _tables = itertools.count(1)
+#: Paths of the tables that cut() wrote and nothing removed so far, in order, and those that cut() gave out as DataFrames.
+_live: list[str] = []
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def get_spark(app: str = "cartulary", master: str | None = None, **conf: str) -> SparkSession:
@@ -87,4 +92,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if next(_tables) % CLEAN_EVERY == 0:
         df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _live.append(path)
+    _path_of[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that cut() returned. Nothing that is still to be computed may read them."""
+    for df in tables:
+        _delete(df.sparkSession, [_path_of.pop(df)])
+
+
+def settle(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """cut() what make returns, then remove the tables that were cut while make ran: only its result may read them."""
+    before = set(_live)
+    out = cut(make(), name)
+    _delete(out.sparkSession, [p for p in _live if p not in before and p != _path_of[out]])
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        _live.remove(p)
