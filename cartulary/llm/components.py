@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.session import cut
+from cartulary.session import cut, forget, settle
 
 
 #: Links from which the least neighbours are written before they are joined.
@@ -29,12 +29,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionAll(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        seen = state
-        settled = (lambda df: cut(df, "least")) if state[0] > MANY else (lambda df: df)
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = settled(large.where("u <> v").distinct())
-        least = settled(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, seen = edges, state
+        edges = settle(lambda: _round(before, state[0] > MANY), "links")
+        forget(before)
+
+
+def _round(edges: DataFrame, many: bool) -> DataFrame:
+    """The links (u, v) after a large-star and a small-star step."""
+    settled = (lambda df: cut(df, "least")) if many else (lambda df: df)
+    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = settled(large.where("u <> v").distinct())
+    least = settled(large.groupBy("u").agg(F.min("v").alias("m")))
+    small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return small.unionAll(least.select("u", F.col("m").alias("v"))).distinct()

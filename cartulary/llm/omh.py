@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from cartulary.llm.batches import as_lists, bound_batches, free, numbered, pieces, texts_of
 from cartulary.llm.components import components
 from cartulary.llm.words import hash_words, mix, shingles
-from cartulary.session import cut, ship
+from cartulary.session import cut, forget, settle, ship
 
 K, SKETCHES, SIMILARITY = 5, 8, 0.8
 #: Documents of a group that are compared with each other; those of larger groups are joined by their k-mers.
@@ -245,11 +245,11 @@ def links(reps: DataFrame) -> DataFrame:
     """Verified links (a, b) between documents of different words. reps: doc_id, sketch, words; one row per doc_id."""
     known = reps.select("doc_id", "sketch").where(F.size("sketch") > 0)
     buckets = known.select("doc_id", F.explode("sketch").alias("key"))
-    live = cut(sized(buckets), "buckets")
+    live = settle(lambda: sized(buckets), "buckets")
     degree = cut(live.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degrees")
     first = cut(hub_pairs(live, degree), "pairs")
     found = cut(verify(first, reps), "found")
-    named = cut(labelled(live.select("doc_id", "key"), found), "labels")
+    named = settle(lambda: labelled(live.select("doc_id", "key"), found), "labels")
     open_ = known.join(mixed(named).select("doc_id", "label").distinct(), "doc_id")
     open_ = cut(open_, "open")
     keys = cut(mixed(sized(cut(open_.select("doc_id", "label", F.explode(combined(2)).alias("key")), "twos"))), "keys")
@@ -259,7 +259,8 @@ def links(reps: DataFrame) -> DataFrame:
     pairs = pairs.unionAll(hub_pairs(crowd, degree)).distinct()
     new = cut(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
     found = found.unionAll(cut(verify(new, reps), "found"))
-    crowd = cut(mixed(cut(labelled(crowd.select("doc_id", "key"), found), "labels")).select("doc_id").distinct(), "crowd")
+    met = settle(lambda: labelled(crowd.select("doc_id", "key"), found), "labels")
+    crowd = settle(lambda: mixed(met).select("doc_id").distinct(), "crowd")
     if crowd.isEmpty():
         return found
     return prefix_links(cut(reps.join(crowd, "doc_id").select("doc_id", "words"), "crowd_words"), found, first.unionAll(new))
@@ -346,7 +347,8 @@ def prefix_links(docs: DataFrame, found: DataFrame, tried: DataFrame) -> DataFra
     """
     rows, before, turn = prefixes(docs), None, 0
     while True:
-        rows = cut(labelled(rows, found), "rows")
+        old, rows = rows, settle(lambda: labelled(rows.select("doc_id", "size", "left", "g"), found), "rows")
+        forget(old)
         per = rows.groupBy("g", "label").agg(F.count("*").alias("n"))
         square = F.sum(F.col("n").cast("double") * F.col("n")).alias("q")
         main = F.max_by("label", F.struct("n", "label")).alias("main")
@@ -355,7 +357,8 @@ def prefix_links(docs: DataFrame, found: DataFrame, tried: DataFrame) -> DataFra
         sums = keys.agg(F.sum("t").alias("rows"), F.sum("pairs").alias("pairs")).head()
         if not sums.rows:
             return found
-        rows = cut(rows.join(keys.select("g", "t", "main"), "g"), "rows")
+        old, rows = rows, cut(rows.join(keys.select("g", "t", "main"), "g"), "rows")
+        forget(old, keys)
         last = sums.pairs <= FEW * sums.rows or before is not None and sums.pairs > SLOW * before
         if last:
             new = meetings(rows.where("label <> main"), rows, ["g"], tried)
@@ -365,7 +368,7 @@ def prefix_links(docs: DataFrame, found: DataFrame, tried: DataFrame) -> DataFra
         found = found.unionAll(cut(verify(new, docs), "found"))
         if last:
             return found
-        tried, before, turn, rows = tried.unionAll(new), sums.pairs, turn + 1, rows.drop("label", "t", "main")
+        tried, before, turn = tried.unionAll(new), sums.pairs, turn + 1
 
 
 def sized(keys: DataFrame) -> DataFrame:
@@ -399,7 +402,7 @@ def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     first = cut(table.where("same <> 0").groupBy("same").agg(F.min("doc_id").alias("rep")), "first")  # read plainly, so that Spark may split the rows of a text with very many copies
     reps = table.where("same <> 0").dropDuplicates(["same"]).select(F.col("same").alias("doc_id"), "sketch", "words")
     reps = cut(reps, "reps")  # from here on a text's words are its id
-    found = cut(links(reps), "links")
+    found = settle(lambda: links(reps), "links")
     groups = components(found).select(F.col("node").alias("same"), "component")
     named = groups.join(first, "same").groupBy("component").agg(F.min("rep").alias("class_id"))
     ends = found.select(F.col("a").alias("same")).unionAll(found.select(F.col("b").alias("same"))).groupBy("same").agg(F.count("*").alias("n_links"))
@@ -417,6 +420,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, without those whose class has a smaller doc_id; rows of null doc_id stay."""
     own_id, own_t = free(docs, "own_id"), free(docs, "own_t")
-    dropped = text_classes(docs, doc_id, text).where("class_id < doc_id").select(F.col("doc_id").alias(own_id), F.col("t").alias(own_t)).distinct()
+
+    def later() -> DataFrame:
+        return text_classes(docs, doc_id, text).where("class_id < doc_id").select(F.col("doc_id").alias(own_id), F.col("t").alias(own_t)).distinct()
+
+    dropped = settle(later, "dropped")
     gone = (numbered(docs, doc_id) == F.col(own_id)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(own_t))
     return docs.join(dropped, gone, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
