@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+from cartulary.llm import components as components_module
 from cartulary.llm import additive, omh, passages, queries
 from cartulary.llm.components import components
 from cartulary.llm.words import hash_words
@@ -344,3 +345,13 @@ def test_neighbour_cases(spark):
     for empty in ([], [(1, None), (20, [0.0, 0.0])]):
         made, books, dim = additive.index(spark.createDataFrame(empty, "vec_id long, embedding array<float>"))
         assert additive.search(made, books, dim, made, 20).collect() == []
+
+
+@pytest.mark.parametrize("many", [200_000, 20])
+def test_components_of_few_and_many_links(spark, monkeypatch, many):
+    monkeypatch.setattr(components_module, "MANY", many)
+    chain = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(5, 5), (3, 2), (2, 3), (2, 3)]
+    found = components_module.components(spark.createDataFrame(chain, "a long, b long"))
+    expected = {i: 100 for i in range(100, 161)} | {i: 7 for i in range(7, 60)} | {2: 2, 3: 2}
+    assert sorted(map(tuple, found.select("node", "component").collect())) == sorted(expected.items())
+    assert components_module.components(spark.createDataFrame([(4, 4)], "a long, b long")).count() == 0
