@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from cartulary.llm import components as components_module
 from cartulary.llm import additive, omh, passages, queries
 from cartulary.llm.components import components
