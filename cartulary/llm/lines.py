@@ -10,7 +10,8 @@ copies make, every line meets a few hubs of the key; then only lines of differen
 components are compared, with letter counts that drop pairs too far from each other
 inside the join, and very large crowds are first told apart by segments of what
 stands beside the shared one. So classes are those of all pairs, but no crowd's
-pairs are listed. What remains is verified by a bit-parallel edit distance over a
+pairs are listed; the report, which counts the links of every line, compares all
+lines of a crowd instead, as many pairs as it has to count. What remains is verified by a bit-parallel edit distance over a
 band of 2 * EDITS + 1 rows.
 
 Lines are known by 64-bit hashes; a false match needs equal hashes and lengths.
@@ -247,10 +248,11 @@ def several(members: DataFrame, label: DataFrame) -> DataFrame:
     return cut(labelled(members, label).groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("key"), "open")
 
 
-def line_links(docs_lines: DataFrame, places: DataFrame | None = None, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_links(docs_lines: DataFrame, places: DataFrame | None = None, edits: int = EDITS, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
     """Verified links a, b between hashes of different lines within the edits, as a table. places: doc_id, h, n of docs_lines, if at hand.
 
     All links of lines that share a key of at most CROWD lines, and of larger crowds so many that lines are connected as all links would connect them.
+    every: all links of crowds too, each once.
     """
     found = met(docs_lines, docs_lines.select("doc_id", "h", "n") if places is None else places, edits, min_chars)
     ids = found.select(F.col("a").alias("h")).unionAll(found.select(F.col("b").alias("h")))
@@ -258,12 +260,14 @@ def line_links(docs_lines: DataFrame, places: DataFrame | None = None, edits: in
     links = verified(ordered(found), texts, edits)
     crowds = found.where("crowded")
     members = crowds.select("key", F.col("b").alias("h")).unionAll(crowds.select("key", F.col("a").alias("h"))).distinct()
-    label = labels(links)
+    label = labels(links.limit(0) if every else links)  # without labels each line is a component of its own
     open_ = several(members, label)
     if open_.isEmpty():
         return links
     rows = texts.join(cut(members.join(open_, "key", "left_semi").select("h").distinct(), "ids"), "h", "left_semi").select("h", "line", "n")
     own, probes = (cut(keys(rows, edits, min_chars, probe, rest=True).join(open_, "key", "left_semi").distinct(), "rests") for probe in (False, True))
+    if not every:
+        links, label = hub_links(own, probes, texts, links, label, edits)
     return crowd_links(own, probes, texts, links, label, edits)
 
 
@@ -295,13 +299,12 @@ def hub_links(own: DataFrame, probes: DataFrame, texts: DataFrame, links: DataFr
 
 
 def crowd_links(own: DataFrame, probes: DataFrame, texts: DataFrame, links: DataFrame, label: DataFrame, edits: int) -> DataFrame:
-    """links and more, between lines of different components under crowded keys, until no two components have a pair within the edits.
+    """links and more, each once, between lines of different components under crowded keys, until no two components have a pair within the edits.
 
     own and probes: key, h and what stands beside the key's segment (line, n). Of keys with at most DENSE lines each line that
     probes is compared with those of other components. Under larger ones what stands beside the segment is cut into
     segments again, as it is within the edits too; that may go on until nearly all of the line is in the key.
     """
-    links, label = hub_links(own, probes, texts, links, label, edits)
     for depth in range(DEPTH + 1):
         sizes = cut(own.groupBy("key").agg(F.count("*").alias("m")), "sizes")  # a line is under a key once
         small = F.col("m") <= (DENSE if depth < DEPTH else 1 << 62)
@@ -309,7 +312,7 @@ def crowd_links(own: DataFrame, probes: DataFrame, texts: DataFrame, links: Data
         left = labelled(own.join(sizes.where(small).select("key"), "key").select("key", "h"), label).join(marks, "h").toDF("a", "key", "la", "na", "xa", "ya")
         right = labelled(probes.join(sizes.where(small).select("key"), "key").select("key", "h").distinct(), label).join(marks, "h").toDF("b", "key", "lb", "nb", "xb", "yb")
         pairs = left.join(right, (left["key"] == right["key"]) & (F.col("la") != F.col("lb")) & close(edits)).select("a", "b")
-        links = links.unionAll(verified(ordered(pairs), texts, edits))
+        links = links.unionAll(verified(ordered(pairs).join(links, ["a", "b"], "left_anti"), texts, edits))
         large = sizes.where(~small).select("key")
         if large.isEmpty():
             break
@@ -318,17 +321,17 @@ def crowd_links(own: DataFrame, probes: DataFrame, texts: DataFrame, links: Data
     return links
 
 
-def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, copies_are_one: bool = False) -> DataFrame:
+def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, copies_are_one: bool = False, every: bool = False) -> DataFrame:
     """doc_id, t (hash of the row's text), pos, class, links and repeats (whether the class comes before) of every line that holds more than spaces.
 
-    copies_are_one: documents of equal text are the first of them.
+    copies_are_one: documents of equal text are the first of them. every: links counts all links of a line, else those that hold its class together.
     """
     lines = occurrences(docs, doc_id, text)
     places = cut(lines.select("doc_id", "t", "pos", "h", "n"), "places")
     if copies_are_one:
         first = places.groupBy("t").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("t", "first")
         places = places.join(cut(first, "copied"), "t", "left").select(F.coalesce("first", "doc_id").alias("doc_id"), "t", "pos", "h", "n")
-    links = settle(lambda: line_links(lines, places, edits, min_chars), "links")
+    links = settle(lambda: line_links(lines, places, edits, min_chars, every), "links")
     groups = components(links).select(F.col("node").alias("h"), "component")
     near = cut(groups.join(degrees(links), "h"), "near")
     rows = places.select("doc_id", "t", "pos", "h").join(near, "h", "left")
@@ -343,8 +346,8 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_links (verified links that hold its lines' classes together), classes and repeated places, in order of place."""
-    found = line_classes(docs, doc_id, text, edits, min_chars)
+    """One row per document: doc_id, n_lines, n_links (for each of its lines, the different lines within the edits), classes and repeated places, in order of place."""
+    found = line_classes(docs, doc_id, text, edits, min_chars, every=True)
     # dealt by doc_id already, so this gathers without another shuffle
     grouped = found.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("pos", "class", "repeats", "links"))).alias("l"))
     ids = docs.select(numbered(docs, doc_id).alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("t")).where("doc_id IS NOT NULL")

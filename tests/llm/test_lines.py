@@ -163,3 +163,17 @@ def test_a_large_family_has_the_components_of_all_pairs(spark, monkeypatch, n, d
     links = [(names[r.a], names[r.b]) for r in lines.line_links(occ).collect()]
     assert len(links) < 40 * n  # not the pairs of the family
     assert groups(texts, links) == want and len(set(want.values())) > 1
+
+
+@pytest.mark.parametrize(("n", "dense"), [(300, lines.DENSE), (150, 20)])
+def test_the_report_counts_every_link_of_a_family(spark, monkeypatch, n, dense):
+    monkeypatch.setattr(lines, "DENSE", dense)
+    texts = family(4, n)
+    want = dict.fromkeys(texts, 0)
+    for pair in substitutions(texts):
+        for t in pair:
+            want[t] += 1
+    docs = spark.createDataFrame([*enumerate(texts), (n, texts[0])], DOCS)  # a copy of a line is no other line
+    got = {r.doc_id: r for r in lines.report(docs).collect()}
+    assert [got[i].n_links for i in range(n)] == [want[t] for t in texts] and got[n].n_links == want[texts[0]]
+    assert sum(want.values()) > 20 * n
