@@ -356,3 +356,14 @@ def test_components_of_few_and_many_links(spark, monkeypatch, many):
     expected = {i: 100 for i in range(100, 161)} | {i: 7 for i in range(7, 60)} | {2: 2, 3: 2}
     assert sorted(map(tuple, found.select("node", "component").collect())) == sorted(expected.items())
     assert components_module.components(spark.createDataFrame([(4, 4)], "a long, b long")).count() == 0
+
+
+def test_near_keeps_words_of_candidates_only(spark):
+    """The table of sketches holds no texts; equal rows of one doc_id give their words once."""
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "h i j k l m n"), (3, None)], DOCS)
+    table = omh.sketches(docs)
+    assert table.columns == ["doc_id", "t", "same", "sketch"]
+    known = table.select("doc_id", "t")
+    got = omh.words_of(docs, known, known.where("doc_id = 1").distinct(), "doc_id", "text").collect()
+    assert [r.doc_id for r in got] == [r.same for r in table.where("doc_id = 1").select("same").distinct().collect()]
+    assert [len(r.words) for r in got] == [28]
