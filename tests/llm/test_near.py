@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from cartulary import session
 from cartulary.llm import components as components_module
 from cartulary.llm import additive, omh, passages, queries
 from cartulary.llm.components import components
@@ -147,6 +148,29 @@ def test_near_rounds_in_crowds(spark, monkeypatch):
         assert {r.doc_id: r.class_id for r in omh.classes(docs).collect()} == want
 
 
+def test_edits_within_a_limit(monkeypatch):
+    rng = random.Random(13)
+    for i in range(600):
+        a = [rng.randint(0, 6) for _ in range(rng.randint(0, 90))]
+        b = [rng.randint(0, 6) if rng.random() < 0.1 else x for x in a if rng.random() > 0.08] + [rng.randint(0, 6)] * rng.randint(0, 2)
+        most, true = rng.randint(0, 40), edits(a, b)
+        if i == 400:
+            monkeypatch.setattr(passages, "LONG", 20)  # longer ones by bands
+        for x, y in ((a, b), (b, a)):
+            assert passages.edits_within(np.array(x, np.uint32), np.array(y, np.uint32), most) == min(true, most + 1)
+
+
+def test_passages_remove_scratch_tables(spark):
+    """What only finished steps read, seeds and keys above all, is not on disk when the passages are there."""
+    shared = [" ".join(f"g{g}w{k}" for k in range(60)) for g in range(3)]
+    rows = [(i, f"{shared[i % 3]} " + " ".join(f"o{i}x{k}" for k in range(30))) for i in range(60)]
+    before = set(session._live)
+    out = passages.repeats(spark.createDataFrame(rows, DOCS))
+    left = Counter(p.rpartition("/")[2].partition("-")[0] for p in session._live if p not in before)
+    assert not left.keys() & {"seeds", "reps", "keys", "key_counts", "centres", "runs"}, left
+    assert {r.doc_id for r in out.collect()} == set(range(60))
+
+
 def test_chains_keep_order():
     xs, ys = np.array([1, 5, 9, 9, 30, 31, 32, 200]), np.array([101, 105, 109, 400, 3, 4, 5, 300])
     found = [[(int(xs[j]), int(ys[j])) for j in chain] for chain in passages.linked(xs, ys, xs, ys)]
