@@ -32,6 +32,7 @@ document, other ids must be integers; no documents give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -39,13 +40,15 @@ from pyspark.sql import functions as F
 
 from cartulary.llm.batches import free, numbered
 from cartulary.llm.components import components
-from cartulary.session import cut, settle
+from cartulary.session import cut, settle, sweep
 
 EDITS, MIN_CHARS = 2, 32
 #: At most so many different lines are too common to be indexed from all their documents.
 HOT_LINES = 100_000
 #: Identifiers of candidate lines that may be broadcast to fetch their texts; beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Places of repeated lines that may be broadcast to the texts; beyond it the texts are shuffled.
+BROADCAST_PLACES = 1_000_000
 #: Lines under one key up to which all that probe it are candidates as they are.
 CROWD = 16
 #: Lines under a crowded key up to which lines of different components are compared; beyond it the key is cut finer, so often at most.
@@ -85,15 +88,15 @@ def segment(length: Column, i: Column, edits: int) -> tuple[Column, Column]:
     return i * base + F.greatest(F.lit(0), i - (parts - longer)), base + (i >= parts - longer).cast("int")
 
 
-def keys(lines: DataFrame, edits: int, min_chars: int, probe: bool, rest: bool = False) -> DataFrame:
+def keys(lines: DataFrame, edits: int, min_chars: int, probe: bool, rest: bool = False, segments: Sequence[int] | None = None) -> DataFrame:
     """key and h: hashes of a line's own segments, or of its substrings that may be a segment of a line up to EDITS shorter.
 
     What to cut out is exploded first, so that the expression for a key is there once. Where lines have a column up, the
-    keys hold it too; with rest, line and n are what stands beside the segment.
+    keys hold it too; with rest, line and n are what stands beside the segment. segments: those asked for, else all.
     """
     cuts = []
     for shorter in range(edits + 1 if probe else 1):
-        for i in range(edits + 1):
+        for i in range(edits + 1) if segments is None else segments:
             # edits to the left of segment i are at most i, to the right at most EDITS - i
             reach = range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1) if probe else (0,)
             cuts += [F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(o).alias("offset")) for o in reach]
@@ -122,21 +125,32 @@ def texts_by_hash(docs_lines: DataFrame, ids: DataFrame) -> DataFrame:
 def met(docs_lines: DataFrame, places: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """What the index and the probes have in common, as a table of key, a, b and crowded: line b probes a key that a is indexed under.
 
-    Of a key with more than CROWD lines a is one only, its hub, and crowded says so.
+    Of a key with more than CROWD lines a is one only, its hub, and crowded says so. Keys hold their segment's number, so
+    the first and last segments meet in one round and those between, which are probed at more places, in another: only
+    one round's keys are on disk at a time.
     """
     seen = Observation()
     often = places.where(F.col("n") >= min_chars).groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("home")).observe(seen, F.sum("copies").alias("total"))
     often = cut(often.where("copies > 8"), "often")
     hot = often.where(F.col("copies") > (seen.get["total"] or 0) / HOT_LINES).select("h", "home")  # at most HOT_LINES rows
     own = docs_lines.where(F.col("n") >= min_chars).join(F.broadcast(hot), "h", "left").where("home IS NULL OR home = doc_id")
+    found = []
+    for segments in filter(None, ([0, edits] if edits else [0], range(1, edits))):
+        found.append(cut(_met(own, edits, min_chars, segments), "met"))
+        sweep(docs_lines.sparkSession)
+    return reduce(DataFrame.unionAll, found)
+
+
+def _met(own: DataFrame, edits: int, min_chars: int, segments: Sequence[int]) -> DataFrame:
+    """What met() returns, by keys of some segments."""
     same = Window.partitionBy("key")
-    index = spread(keys(own, edits, min_chars, probe=False)).dropDuplicates(["key", "h"])
+    index = spread(keys(own, edits, min_chars, probe=False, segments=segments)).dropDuplicates(["key", "h"])
     index = index.withColumn("m", F.count("*").over(same)).withColumn("first", F.min("h").over(same))
     crowded = F.col("m") > CROWD
     # up to CROWD rows of a key, or its hub: to hash these in memory is even over partitions
     ends = index.where(~crowded | (F.col("h") == F.col("first"))).select("key", F.col("h").alias("a"), crowded.alias("crowded"))
-    probe = spread(keys(own, edits, min_chars, probe=True))
-    return cut(probe.join(ends.hint("shuffle_hash"), "key").where("a <> h").select("key", "a", F.col("h").alias("b"), "crowded"), "met")
+    probe = spread(keys(own, edits, min_chars, probe=True, segments=segments))
+    return probe.join(ends.hint("shuffle_hash"), "key").where("a <> h").select("key", "a", F.col("h").alias("b"), "crowded")
 
 
 def marked(texts: DataFrame, *more: str) -> DataFrame:
@@ -376,6 +390,9 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         return found.groupBy(F.col("t").alias(own_t)).agg(F.collect_set("pos").alias(gone))
 
     first = settle(repeated, "repeated")
+    sweep(docs.sparkSession)
+    places = first.agg(F.sum(F.size(gone))).head()[0] or 0
+    first = F.broadcast(first) if places <= BROADCAST_PLACES else first
     joined = docs.join(first, numbered(docs, doc_id).isNotNull() & (F.xxhash64(whole) == F.col(own_t)), "left")
     kept = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
     columns = [F.when(F.col(gone).isNotNull(), kept).otherwise(whole).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]

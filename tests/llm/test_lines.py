@@ -177,3 +177,36 @@ def test_the_report_counts_every_link_of_a_family(spark, monkeypatch, n, dense):
     got = {r.doc_id: r for r in lines.report(docs).collect()}
     assert [got[i].n_links for i in range(n)] == [want[t] for t in texts] and got[n].n_links == want[texts[0]]
     assert sum(want.values()) > 20 * n
+
+
+def test_few_repeated_places_do_not_shuffle_the_texts(spark, monkeypatch):
+    rows = [(i, f"a line of boilerplate that stands in many documents\nown line of number {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {}
+        for most in (lines.BROADCAST_PLACES, 0):
+            monkeypatch.setattr(lines, "BROADCAST_PLACES", most)
+            out = lines.drop_lines(docs)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan) == (most > 0)
+            got[most] = sorted((r.doc_id, r.text) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len({str(x) for x in got.values()}) == 1
+    assert [t for _, t in got[0]] == [rows[0][1]] + [f"own line of number {i}" for i in range(1, 40)]
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_rounds_meet_under_the_keys_of_all_segments(spark, monkeypatch, edits):
+    """Every round has keys of some segments, and together they have all, each in one round."""
+    asked = []
+    one = lines._met
+    monkeypatch.setattr(lines, "_met", lambda own, e, least, segments: asked.append(list(segments)) or one(own, e, least, segments))
+    texts = [t + "abcdefgh" for t in family(5, 12)]
+    occ = lines.occurrences(spark.createDataFrame(list(enumerate(texts)), DOCS)).cache()
+    found = lines.met(occ, occ.select("doc_id", "h", "n"), edits, 32)
+    assert sorted(sum(asked, [])) == list(range(edits + 1)) and len(asked) == min(2, edits // 2 + 1)
+    whole = one(occ, edits, 32, range(edits + 1))
+    assert sorted(found.collect()) == sorted(whole.collect())
